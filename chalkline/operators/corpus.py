@@ -91,8 +91,7 @@ def pending(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
 
 
 def corpus_counts(candidates: DataFrame, enriched_rows: DataFrame, selected: DataFrame) -> DataFrame:
-    one = candidates.agg(F.count("*").alias("candidates"))
-    two = enriched_rows.agg(F.count("*").alias("enriched"), F.count_if("s2_found").alias("scholar_found"))
-    return one.crossJoin(two).crossJoin(selected.agg(F.count("*").alias("selected")))  # one row each
+    n = enriched_rows.agg(F.count("*").alias("enriched"), F.count_if("s2_found").alias("scholar_found"))
+    return n.withColumns({"candidates": candidates.agg(F.count("*")).scalar(), "selected": selected.agg(F.count("*")).scalar()})
 
 

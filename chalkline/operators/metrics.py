@@ -57,8 +57,8 @@ def half_width(p: Column, n: Column) -> Column:
 
 
 def chunk_stats(chunks: DataFrame) -> DataFrame:
-    """Papers, chunks, and papers by the source of their last chunk. Two-level, so that a hot paper is pre-aggregated."""
-    last = chunks.groupBy("arxiv_id").agg(F.max_by(F.lower(F.trim("source")), "chunk_ord").alias("_s"), F.count("*").alias("_n"))
+    """Papers, chunks, and papers by the last source that is not null. Two-level, so that a hot paper is pre-aggregated."""
+    last = chunks.groupBy("arxiv_id").agg(F.max_by(F.lower(F.trim("source")), F.when(F.col("source").isNotNull(), F.col("chunk_ord"))).alias("_s"), F.count("*").alias("_n"))
     return last.agg(
         F.count("*").alias("papers"),
         F.sum("_n").alias("chunks"),

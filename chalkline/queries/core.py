@@ -430,8 +430,7 @@ def agg02_idf(t):
 )
 def agg04_chunk_stats(t):
     rows = t("chunks_norm")
-    known = metrics.chunk_stats(rows.filter(F.col("source").isNotNull())).select("latex", "pdf")
-    return metrics.chunk_stats(rows).select("papers", "chunks").crossJoin(known)  # one row each
+    return metrics.chunk_stats(rows)
 
 
 @R.add("SELECT lower(trim(source)) AS kind, count(*) AS n FROM chunks_norm GROUP BY 1")
