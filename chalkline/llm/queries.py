@@ -4,13 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chalkline.llm import packing, quota, splitting, tokens
+from chalkline.llm import packing, prose, quota, splitting, tokens
 from chalkline.queries.registry import Registry
 
 R = Registry()
 WS = r"[\s\p{Z}\x{0B}\x{1C}-\x{1F}\x{85}]"
 
 
+# --- 1: text statistics --------------------------------------------------------------------------------------------------------------
+
+
+@R.add()
+def p1_found(t):
+    rows = prose.judged(prose.statistics(t("chunks_norm")))
+    return rows.filter(~F.col("verdict").isin("prose", "blank")).select("chunk_ord")
+
+
+@R.add()
+def p1_statistics(t):
+    """All statistics with verdict and reasons, and whether the delivered n_words is the counted one."""
+    given = t("chunks_norm").select("chunk_ord", F.col("n_words").alias("n_given"))
+    rows = prose.judged(prose.statistics(t("chunks_norm"))).join(given, "chunk_ord")
+    return rows.withColumn("n_words_ok", F.coalesce(F.col("n_given") == F.col("n_counted"), F.lit(False)))
+
+
 # --- 3: sample matching target proportions -------------------------------------------------------------------------------------------
 
 SAMPLE = rf"""targets AS (SELECT question_set, section_type, max(sample_size) AS sample_size, max(target_share) AS target_share, max(min_rows) AS min_rows, max(per_paper) AS per_paper FROM question_targets GROUP BY 1, 2),
