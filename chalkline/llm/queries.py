@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chalkline.llm import packing, prose, quota, splitting, tokens
+from chalkline.llm import markup, packing, prose, quota, scans, splitting, tokens
 from chalkline.queries.registry import Registry
 
 R = Registry()
@@ -28,6 +28,21 @@ def p1_statistics(t):
     return rows.withColumn("n_words_ok", F.coalesce(F.col("n_given") == F.col("n_counted"), F.lit(False)))
 
 
+# --- 2: noise of scanned pages -------------------------------------------------------------------------------------------------------
+
+
+@R.add()
+def p2_found(t):
+    rows = t("chunks_norm")
+    return scans.damaged(rows, scans.learned(rows)).select("chunk_ord")
+
+
+@R.add()
+def p2_repaired(t):
+    rows = t("chunks_norm")
+    return scans.repaired(rows, scans.learned(rows))
+
+
 # --- 3: sample matching target proportions -------------------------------------------------------------------------------------------
 
 SAMPLE = rf"""targets AS (SELECT question_set, section_type, max(sample_size) AS sample_size, max(target_share) AS target_share, max(min_rows) AS min_rows, max(per_paper) AS per_paper FROM question_targets GROUP BY 1, 2),
@@ -73,6 +88,19 @@ def p4_pieces(t):
     return splitting.renumbered(splitting.pieces(rows), rows)
 
 
+# --- 5: markup residue ---------------------------------------------------------------------------------------------------------------
+
+
+@R.add()
+def p5_found(t):
+    return markup.cleaned(t("chunks_norm")).filter(F.col("n_residues") > 0).select("chunk_ord")
+
+
+@R.add()
+def p5_clean(t):
+    return markup.cleaned(t("chunks_norm"))
+
+
 # --- 6: encoding the corpus ----------------------------------------------------------------------------------------------------------
 
 
