@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chalkline.llm import markup, packing, prose, quota, scans, splitting, tokens
+from chalkline.llm import markup, packing, prose, quota, scans, spam, splitting, tokens
 from chalkline.queries.registry import Registry
 
 R = Registry()
@@ -127,3 +127,16 @@ def p7_packed(t):
 @R.add()
 def p7_report(t):
     return packing.fill_report(packing.packed(tokens.sizes(t("documents")), t("pack_sizes")), t("pack_sizes"))
+
+
+# --- 8: keyword-stuffed and link-list pages ------------------------------------------------------------------------------------------
+
+
+@R.add()
+def p8_found(t):
+    return spam.judged(t("documents"), t("common_words")).filter("is_spam").select("doc_id")
+
+
+@R.add()
+def p8_features(t):
+    return spam.judged(t("documents"), t("common_words"))
