@@ -19,17 +19,35 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: What counts as residue, by kind. Each pattern also fits when the edge of a window has cut the construct.
-RESIDUE = {
-    "html": r"</?[A-Za-z][A-Za-z0-9]*(?=[\s/>]|$)|<!--|-->|/>|(?<![\w$])(?:href|src|alt|class|id|name|title|style|width|height|align|border|colspan|rel)=(?:[\"']|\w)|=\"[^\"]*\">",
-    "entity": r"&(?:[A-Za-z]{2,8}|#\d{1,6}|#x[0-9A-Fa-f]{1,6});",
-    "markdown": r"\]\(|\]\[|\]:\s|\[\^|!\[|\*\*|~~|(?<![A-Za-z0-9])__(?=[A-Za-z0-9])|(?<=[A-Za-z0-9.,])__(?![A-Za-z0-9_])|(?<![\w*])\*(?=[A-Za-z0-9])|`|(?:^|(?<=\s))#{1,6}(?=\s+\S)|\|(?:\s*:?-{2,}:?\s*\|)+|(?m:^\s*\|.*\|\s*$)",
-    "wiki": r"\[\[|\]\]|\{\{|\}\}|\{\||\|\}|''|\|\||(?:^|(?<=\s))\|-(?=\s|$)|\|[a-z]+=|\|(?:thumb|left|right|frame)\||(?:^|(?<=\s))={2,6}(?=\s|$)|\[(?:https?|ftp)://",
-    "latex": r"\\(?:[A-Za-z]+|[%,&_#$\;:!{}\[\]()])|\$(?=[A-Za-z\\^_{$])|(?<=[A-Za-z}])\$(?!\d)|\s&\s+-?\d|\d\s+&\s|(?<![\w{])[A-Za-z][a-z]+[.,]?\}|(?<![\w.])-?\d+(?:\.\d+)?\}|\{\\|[A-Za-z.]~[A-Za-z\\]",
-}
-KINDS = tuple(RESIDUE)
-ANY = re.compile("|".join(f"(?P<{k}>{p})" for k, p in RESIDUE.items()))
-#: What any residue holds; it starts at a rare character, so most texts are passed after one quick scan.
+ENTITY = re.compile(r"&(?:[A-Za-z]{2,8}|#\d{1,6}|#x[0-9A-Fa-f]{1,6});")
+ATTRIBUTE = r"(?:href|src|alt|class|id|name|title|style|width|height|align|border|colspan|rel)"
+#: What counts as residue, by kind. Each pattern also fits when the edge of a window has cut the construct. It is tried only in
+#: texts that have one of the fixed parts beside it.
+RESIDUE = (
+    ("html", ("<",), r"</?[A-Za-z][A-Za-z0-9]*(?=[\s/>]|$)|<!--"),
+    ("html", ("-->", "/>"), r"-->|/>"),
+    ("html", ('="', "='", "name=", "class=", "id=", "href=", "src=", "width=", "height="), rf"(?<![\w$]){ATTRIBUTE}=(?:[\"']|\w)|=\"[^\"]*\">"),
+    ("entity", ("&",), ENTITY.pattern),
+    ("markdown", ("](", "][", "]:", "[^", "!["), r"\]\(|\]\[|\]:\s|\[\^|!\["),
+    ("markdown", ("*",), r"\*\*|(?<![\w*])\*(?=[A-Za-z0-9])"),
+    ("markdown", ("~~", "`"), r"~~|`"),
+    ("markdown", ("__",), r"(?<![A-Za-z0-9])__(?=[A-Za-z0-9])|(?<=[A-Za-z0-9.,])__(?![A-Za-z0-9_])"),
+    ("markdown", ("# ", "#\n"), r"(?:^|(?<=\s))#{1,6}(?=\s+\S)"),
+    ("markdown", ("|",), r"\|(?:\s*:?-{2,}:?\s*\|)+|(?m:^[ \t]*\|.*\|[ \t]*$)"),
+    ("wiki", ("[[", "]]", "{{", "}}", "{|", "|}", "''", "||"), r"\[\[|\]\]|\{\{|\}\}|\{\||\|\}|''|\|\|"),
+    ("wiki", ("|",), r"(?:^|(?<=\s))\|-(?=\s|$)|\|[a-z]+=|\|(?:thumb|left|right|frame)\|"),
+    ("wiki", ("==",), r"(?:^|(?<=\s))={2,6}(?=\s|$)"),
+    ("wiki", ("[http", "[ftp"), r"\[(?:https?|ftp)://"),
+    ("latex", ("\\",), r"\\(?:[A-Za-z]+|[%,&_#$\;:!{}\[\]()])|\{\\|[A-Za-z.]~\\"),
+    ("latex", ("$",), r"\$(?=[A-Za-z\\^_{$])|(?<=[A-Za-z}])\$(?!\d)"),
+    ("latex", (" & ",), r"\s&\s+-?\d|\d\s+&\s"),
+    ("latex", ("}",), r"(?<![\w{])[A-Za-z][a-z]+[.,]?\}|(?<![\w.])-?\d+(?:\.\d+)?\}"),
+    ("latex", ("~",), r"[A-Za-z.]~[A-Za-z]"),
+)
+KINDS = ("html", "entity", "markdown", "wiki", "latex")
+TRIED = tuple((kind, fixed, re.compile(pattern)) for kind, fixed, pattern in RESIDUE)
+HTML = re.compile("|".join(p for k, _, p in RESIDUE if k == "html"))
+#: What any residue holds; most texts are passed after this one scan.
 HINT = re.compile(r"<[A-Za-z/!]|&[#A-Za-z\s]|\][(\[:\]]|\[[\[^hf]|!\[|\*|~[~A-Za-z\\]|__|`|#+\s|\||''|=[\"'=\w]|\\|\$(?:\D|$)|\}|-->|/>")
 #: An emphasis that was opened before the window: a star after a small word, before any other star. A lone 'marked *' may have lost its blank.
 OPEN_STAR = re.compile(r"^[^*]{0,120}?(?<![\w-])(?!marked\*)[a-z][a-z-]*[.,]?\*(?!\w)")
@@ -40,9 +58,12 @@ def residues(text: str | None) -> dict[str, int]:
     out = dict.fromkeys(KINDS, 0)
     if not text or not HINT.search(text):
         return out
-    for m in ANY.finditer(text):
-        out[m.lastgroup] += 1
-    if OPEN_STAR.search(text):
+    for kind, fixed, pattern in TRIED:
+        for x in fixed:
+            if x in text:
+                out[kind] += len(pattern.findall(text))
+                break
+    if "*" in text and OPEN_STAR.search(text):
         out["markdown"] += 1
     return out
 
@@ -285,8 +306,8 @@ def clean(text: str) -> str:
     """Clean text of one text with residue. Runs until nothing changes, three times at most: escaped markup shows only after the first."""
     for _ in range(3):
         before = text
-        text = re.sub(RESIDUE["entity"], lambda m: html.unescape(m[0]).replace("\xa0", " "), text)
-        if re.search(RESIDUE["html"], text):
+        text = ENTITY.sub(lambda m: html.unescape(m[0]).replace("\xa0", " "), text)
+        if HTML.search(text):
             text = from_html(text)
         for pattern, to in RULES:
             text = pattern.sub(to, text)
