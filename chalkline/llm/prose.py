@@ -48,7 +48,7 @@ INITIAL = re.compile(r"^[(\[]?[a-z]\.[,;]?$")
 DIGIT = re.compile(r"\d")
 
 # bits of a word
-FUNC, VERB, ED, ART, PREP, COP, CONJ, NUM, ALPHA, SYMBOL, REL, CORE, CLOSED, TO, WE, BE, HAVE, ADJ, INIT = (1 << i for i in range(19))
+FUNC, VERB, ED, ART, PREP, COP, CONJ, NUM, ALPHA, SYMBOL, REL, CORE, CLOSED, TO, WE, BE, HAVE, ADJ, INIT, WITH = (1 << i for i in range(20))
 
 
 @dataclass(frozen=True)
@@ -70,7 +70,7 @@ STATS = {
 }
 
 
-SETS = {FUNC: {*ARTICLES, *PREPOSITIONS, *COPULAS, *CONJUNCTIONS, *OTHERS}, VERB: {*COPULAS, *MODALS, *VERBS} - {"be", "been"}, ART: {*ARTICLES} - {"their"}, PREP: {*PREPOSITIONS}, COP: {*COPULAS}, CONJ: {*CONJUNCTIONS}, TO: {"to"}, WE: {"we", "they", "he", "she"}, BE: {"be", "been"}, HAVE: {"has", "have", "had"}, ADJ: {*AFTER_ARTICLE}, REL: {"that", "which", "who"}}
+SETS = {FUNC: {*ARTICLES, *PREPOSITIONS, *COPULAS, *CONJUNCTIONS, *OTHERS}, VERB: {*COPULAS, *MODALS, *VERBS} - {"be", "been"}, ART: {*ARTICLES} - {"their"}, PREP: {*PREPOSITIONS}, COP: {*COPULAS}, CONJ: {*CONJUNCTIONS}, TO: {"to"}, WE: {"we", "they", "he", "she"}, BE: {"be", "been"}, HAVE: {"has", "have", "had"}, ADJ: {*AFTER_ARTICLE}, WITH: {"with"}, REL: {"that", "which", "who"}}
 #: Common words of which a text should have two, by a published rule.
 SETS[CORE] = {"the", "be", "to", "of", "and", "that", "have", "with"}
 
@@ -123,7 +123,7 @@ def prose_mask(bits: np.ndarray, begin: np.ndarray, end: np.ndarray, p: ProsePar
     verb = (has(VERB) | finite) & ~prev_rel
     nfunc = nx(FUNC)
     odd = has(ART) & nfunc & ~nx(ADJ)
-    odd |= has(PREP) & nx(PREP | COP | CONJ | TO | WE)
+    odd |= has(PREP) & nx(PREP | COP | CONJ | TO | WE) & ~(has(WITH) & nx(CONJ))  # with or without
     odd |= has(TO) & nx(COP | CONJ | TO | WE) & ~nx(BE | HAVE)
     odd |= has(COP) & (nx(CONJ | WE) | (nx(COP) & ~(has(HAVE) & nx(BE))))
     odd |= has(CONJ) & nx(CONJ)
@@ -177,17 +177,17 @@ def batch_stats(texts: list, known: Words, p: ProseParams = ProseParams()) -> di
     return out
 
 
-def statistics(rows: DataFrame, key: str = "chunk_ord", text: str = "text", p: ProseParams = ProseParams()) -> DataFrame:
-    """key and the columns of STATS, one row per row. One pass over the text in Arrow batches, no shuffle."""
-    kind = rows.schema[key].dataType.simpleString()
+def statistics(rows: DataFrame, key: str = "chunk_ord", text: str = "text", p: ProseParams = ProseParams(), keep: tuple[str, ...] = ()) -> DataFrame:
+    """key, the columns of `keep` and those of STATS, one row per row. One pass over the text in Arrow batches, no shuffle."""
+    types = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in (key, *keep)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
         for b in batches:
             got = batch_stats(b.column(1).to_pylist(), known, p)
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(got[c], pa.int64() if t == "bigint" else pa.float64()) for c, t in STATS.items()]], [key, *STATS])
+            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], *[pa.array(got[c], pa.int64() if t == "bigint" else pa.float64()) for c, t in STATS.items()]], [key, *keep, *STATS])
 
-    return rows.select(key, text).mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"{c} {t}" for c, t in STATS.items()))
+    return rows.select(key, text, *keep).mapInArrow(run, ", ".join([*types, *(f"{c} {t}" for c, t in STATS.items())]))
 
 
 #: Published thresholds for web text, by the rule that records a failure. They are advice here: a chunk of 30 words may be prose.
@@ -218,9 +218,11 @@ def judged(stats: DataFrame, p: ProseParams = ProseParams()) -> DataFrame:
     kind = (
         F.when(F.col("n_counted") == 0, "blank")
         .when(F.col("prose_share") >= p.prose_share, "prose")
-        .when((F.col("odd_order_share") >= p.order_share) | (F.col("symbol_share") > 0.15) | (F.col("alpha_share") < 0.3) & (F.col("number_share") < 0.3) | (F.col("mean_word_length") > 12), "junk")
-        .when((F.col("n_counted") >= 40) & (F.col("distinct_share") < 0.15), "junk")
+        .when(F.col("odd_order_share") >= p.order_share, "junk")
+        .when((F.col("n_counted") >= 40) & (F.col("distinct_share") < 0.08), "junk")
         .when(F.col("number_share") > 0.4, "table")
+        .when(F.col("bullet_lines") > 0.5, "list")
+        .when((F.col("symbol_share") > 0.2) | (F.col("alpha_share") < 0.3) | (F.col("mean_word_length") > 12) | (F.col("number_share") + F.col("common_share") < 0.01), "junk")
         .otherwise("list")
     )
     rows = stats.withColumn("prose_share", share)

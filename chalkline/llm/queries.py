@@ -23,8 +23,7 @@ def p1_found(t):
 @R.add()
 def p1_statistics(t):
     """All statistics with verdict and reasons, and whether the delivered n_words is the counted one."""
-    given = t("chunks_norm").select("chunk_ord", F.col("n_words").alias("n_given"))
-    rows = prose.judged(prose.statistics(t("chunks_norm"))).join(given, "chunk_ord")
+    rows = prose.judged(prose.statistics(t("chunks_norm"), keep=("n_words",))).withColumnRenamed("n_words", "n_given")
     return rows.withColumn("n_words_ok", F.coalesce(F.col("n_given") == F.col("n_counted"), F.lit(False)))
 
 

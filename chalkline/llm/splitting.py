@@ -39,7 +39,7 @@ def _units(text: str, spans: list[tuple[int, int]], lo: int, hi: int, most: int,
     if hi - lo <= most:
         return [hi]
     if level == len(LEVELS):
-        return [*range(lo + most, hi, most), hi]
+        return [*range(lo + 1, hi + 1)]
     begin, end = spans[lo][0], spans[hi - 1][1]
     cuts, at = [], lo
     for m in LEVELS[level].finditer(text, begin, end):
