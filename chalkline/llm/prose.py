@@ -58,6 +58,7 @@ class ProseParams:
     func_share: float = 0.20  # of the words without digits; initials count against
     order_margin: int = 8  # words beyond the first and last impossible pair that count as scrambled
     order_share: float = 0.025  # impossible pairs of function words, per word between them
+    mark_share: float = 0.02  # words with a mark behind them, below which a text with impossible pairs is shuffled as a whole
     verb_share: float = 0.026  # finite verbs per word within 36 words to either side
     prose_share: float = 0.5
 
@@ -135,8 +136,12 @@ def prose_mask(bits: np.ndarray, begin: np.ndarray, end: np.ndarray, p: ProsePar
         own, first, count = np.unique(begin[where], return_index=True, return_counts=True)
         lo, hi = where[first], where[first + count - 1]
         bad = (count >= 2) & (count / (hi - lo + 1) >= p.order_share)
+        marks = np.concatenate([[0], np.cumsum(has(CLOSED))])
         for a, b, e in zip(lo[bad], hi[bad], end[lo[bad]]):
-            scrambled[max(a - p.order_margin, begin[a]) : min(b + p.order_margin + 1, e)] = True
+            start = begin[a]
+            if marks[e] - marks[start] < p.mark_share * (e - start):  # no sentence has an end: it is shuffled as a whole
+                a, b = start, e
+            scrambled[max(a - p.order_margin, start) : min(b + p.order_margin + 1, e)] = True
     share = lambda x, k: _window(x, *wide(k)) / np.maximum(wide(k)[1] - wide(k)[0], 1)
     plain = np.maximum(_window(~has(NUM), *wide(p.around)), 1)
     around = (_window(func, *wide(p.around)) - _window(has(INIT), *wide(p.around))) / plain
