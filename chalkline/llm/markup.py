@@ -19,6 +19,8 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from chalkline.llm.store import sliced
+
 ENTITY = re.compile(r"&(?:[A-Za-z]{2,8}|#\d{1,6}|#x[0-9A-Fa-f]{1,6});")
 ATTRIBUTE = r"(?:href|src|alt|class|id|name|title|style|width|height|align|border|colspan|rel)"
 #: What counts as residue, by kind. Each pattern also fits when the edge of a window has cut the construct. It is tried only in
@@ -331,7 +333,7 @@ def cleaned(rows: DataFrame, key: str = "chunk_ord", text: str = "text") -> Data
     head, item, code = re.compile(r"(?m)^§ "), re.compile(r"(?m)^• "), re.compile(r"(?m)^ {4}\S")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             out: list[list] = [[] for _ in names]
             for t in b.column(1).to_pylist():
                 found = residues(t)

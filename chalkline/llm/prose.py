@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chalkline.llm.store import sliced
+
 #: Function words of English by the place they take in a sentence.
 ARTICLES = "the a an its our their".split()
 PREPOSITIONS = "of in by from over at with into between within for".split()
@@ -188,7 +190,7 @@ def statistics(rows: DataFrame, key: str = "chunk_ord", text: str = "text", p: P
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
-        for b in batches:
+        for b in sliced(batches):
             got = batch_stats(b.column(1).to_pylist(), known, p)
             yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], *[pa.array(got[c], pa.int64() if t == "bigint" else pa.float64()) for c, t in STATS.items()]], [key, *keep, *STATS])
 

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from chalkline.llm.store import sliced
+
 WORD = re.compile(r"\S+")
 #: The places at which each level may cut, coarse to fine; a cut lies at the end of the match.
 LEVELS = (
@@ -101,7 +103,7 @@ def pieces(rows: DataFrame, key: str = "chunk_ord", text: str = "text", p: Split
     schema = f"`{key}` {kind}, piece int, n_pieces int, piece_text string, piece_words int"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             keys, no, of, out, words = [], [], [], [], []
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 spans = split_words(t, p.limit, p.overlap, p.longest_word)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -28,6 +30,13 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of a bounded number of rows, so that what Python holds of them at once stays small."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def rank_in_group(df: DataFrame, keys: list[str], order: list[Column], name: str, bucket: Column, buckets: int = 256) -> DataFrame:
     """1-based place of each row in its group, without a task that holds a group: places within (group, bucket), plus the counts of the
     group's earlier buckets. Bucket is a number from 0 that decides the order first; `order` decides within it."""

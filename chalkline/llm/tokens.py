@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chalkline.llm.store import saved
+from chalkline.llm.store import saved, sliced
 
 #: White space by Unicode; the set has not changed for many versions of the standard, unlike the letters.
 BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -51,7 +51,7 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
-        for b in batches:
+        for b in sliced(batches):
             for t in b.column(0).to_pylist():
                 if t:
                     held.update(WORD.findall(t))
@@ -69,7 +69,7 @@ def word_table(docs: DataFrame, text: str = "text", p: TokenizerParams = Tokeniz
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = _tokenizer(p.path)
-        for b in batches:
+        for b in sliced(batches):
             ids = [e.ids for e in tok.encode_batch_fast(b.column(0).to_pylist(), add_special_tokens=False)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int32()))], ["word", "n", "ids"])
 
@@ -121,7 +121,7 @@ def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", p: Tokeniz
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words_, starts, lengths, flat = own.value
         index, other = {w: i for i, w in enumerate(words_)}, len(words_)
-        for b in batches:
+        for b in sliced(batches):
             words, codes, n = _coded(b.column(2).to_pylist(), index, other)
             each = lengths[codes]
             at = np.repeat(starts[codes] - _offsets(each)[:-1], each) + np.arange(each.sum())
@@ -145,7 +145,7 @@ def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", p: Tokeniz
     found = found.select(F.col("_k").alias("_k2"), F.col("_h").alias("_h2"), F.col("_f.ids").alias("_f"))
 
     def splice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             out, lengths = [], []
             for ids, more in zip(b.column(1), b.column(2)):
                 a = ids.values.to_numpy(zero_copy_only=False)
@@ -176,7 +176,7 @@ def sizes(docs: DataFrame, key: str = "doc_id", text: str = "text", p: Tokenizer
         words_, _, lengths, _ = own.value
         index, other = {w: i for i, w in enumerate(words_)}, len(words_)
         lengths = np.concatenate([lengths[:-1], [0]])
-        for b in batches:
+        for b in sliced(batches):
             words, codes, n = _coded(b.column(1).to_pylist(), index, other)
             doc = np.repeat(np.arange(len(n)), n)
             rest = np.flatnonzero(codes == other)
@@ -212,7 +212,7 @@ def decoded(rows: DataFrame, key: str = "doc_id", ids: str = "ids", path: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = piece_table(path)
-        for b in batches:
+        for b in sliced(batches):
             out = [None if v is None else b"".join([pieces[i] for i in v if 0 <= i < len(pieces)]).decode("utf-8", "replace") for v in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], [key, "text"])
 
