@@ -37,6 +37,20 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.R
             yield b.slice(i, rows)
 
 
+def most_frequent(df: DataFrame, count: str, limit: int) -> DataFrame:
+    """The rows with the largest counts, `limit` at most: as many whole classes of counts (eighths of a power of two) as fit. Only the sizes of the
+    classes, a few hundred numbers, come to the driver, so no task sends it its own best rows."""
+    size = F.floor(F.log2(F.col(count)) * 8).cast("int")
+    rows = df.filter(F.col(count) > 0).groupBy(size.alias("c")).agg(F.count("*").alias("n")).collect()
+    least, total = None, 0
+    for r in sorted(rows, key=lambda r: -r["c"]):
+        total += r["n"]
+        if total > limit:
+            break
+        least = r["c"]
+    return df.limit(0) if least is None else df.filter((F.col(count) > 0) & (size >= least))
+
+
 def rank_in_group(df: DataFrame, keys: list[str], order: list[Column], name: str, bucket: Column, buckets: int = 256) -> DataFrame:
     """1-based place of each row in its group, without a task that holds a group: places within (group, bucket), plus the counts of the
     group's earlier buckets. Bucket is a number from 0 that decides the order first; `order` decides within it."""

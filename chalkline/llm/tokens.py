@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chalkline.llm.store import saved, sliced
+from chalkline.llm.store import most_frequent, saved, sliced
 
 #: White space by Unicode; the set has not changed for many versions of the standard, unlike the letters.
 BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -78,7 +78,7 @@ def word_table(docs: DataFrame, text: str = "text", p: TokenizerParams = Tokeniz
 
 def _frequent(table: DataFrame, p: TokenizerParams) -> list:
     short = table.filter(F.length("word") <= p.frequent_chars)
-    return short.orderBy(F.col("n").desc(), "word").limit(p.frequent).select("word", "ids").collect()
+    return most_frequent(short, "n", p.frequent).select("word", "ids").collect()
 
 
 def _broadcast(docs: DataFrame, table: DataFrame, p: TokenizerParams):
