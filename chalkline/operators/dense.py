@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 
 def top_dense(vectors: DataFrame, queries: DataFrame, n: int, key: str = "vec_id", vec: str = "embedding", block: int = 4096) -> DataFrame:
     """query_id, key, score (6 digits), rank of the n nearest by inner product; ties by key. Null vectors and other lengths than the first
-    query's are left out. Query vectors reach the tasks as one broadcast of at most `block` rows; a larger batch must be split by the caller."""
+    query's are left out. A task keeps n rows a query, however many batches it reads. Query vectors reach the tasks as one broadcast of at most `block` rows; a larger batch must be split by the caller."""
     got = queries.select(F.col(key).alias("query_id"), vec).filter(F.col(vec).isNotNull()).limit(block + 1).collect()
     if len(got) > block:
         raise ValueError(f"more than {block} queries: split the batch")
@@ -29,16 +29,18 @@ def top_dense(vectors: DataFrame, queries: DataFrame, n: int, key: str = "vec_id
     ids, mat = np.array([r["query_id"] for r in got]), np.array([r[vec] for r in got], np.float64)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys, best = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
         for b in batches:
             b = b[b[vec].map(lambda v: v is not None and len(v) == dim)]
             if not len(b):
                 continue
-            own = b[key].to_numpy()
             s = np.round(mat @ np.stack(b[vec].to_numpy()).astype(np.float64).T, 6)
-            m = min(n, s.shape[1])
-            for at in range(len(ids)):
-                best = np.lexsort((own, -s[at]))[:m]
-                yield pd.DataFrame({"query_id": ids[at], key: own[best], "score": s[at][best]})
+            keys = np.hstack([keys, np.broadcast_to(b[key].to_numpy(np.int64), s.shape)])
+            best = np.hstack([best, s])
+            order = np.lexsort((keys, -best))[:, :n]  # by score, then by key; of each query
+            keys, best = np.take_along_axis(keys, order, 1), np.take_along_axis(best, order, 1)
+        m = keys.shape[1]
+        yield pd.DataFrame({"query_id": np.repeat(ids, m), key: keys.ravel(), "score": best.ravel()})
 
     cand = vectors.select(key, vec).mapInPandas(score, schema)
     w = W.partitionBy("query_id").orderBy(F.col("score").desc(), key)
