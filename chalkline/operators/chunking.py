@@ -26,18 +26,18 @@ def section_spans(body: Column) -> Column:
 def sections(papers: DataFrame, key: str, body: str) -> DataFrame:
     """One row per section that has text and no noise title; numbered after the filter, so without gaps."""
     spans = F.filter(section_spans(F.col(body)), lambda s: ~noise_section(s["title"]) & (strip(s["text"]) != ""))
-    return papers.select(key, F.posexplode(spans).alias("section_index", "_s")).select(
-        key, "section_index", F.col("_s.title").alias("section"), strip(F.col("_s.text")).alias("text")
-    )
+    # the outer form: for the inner one Spark would work out the sections a second time, in a filter in front
+    each = papers.select(key, F.posexplode_outer(spans).alias("section_index", "_s")).filter(F.col("section_index").isNotNull())
+    return each.select(key, "section_index", F.col("_s.title").alias("section"), strip(F.col("_s.text")).alias("text"))
 
 
 def windows(text: Column, p: ChunkParams = ChunkParams()) -> Column:
     """Array of word arrays: windows of p.words words every p.step words. A window under p.min_words is left out unless it is the first."""
-    return F.transform(window_spans(text, p), lambda s: F.slice(words(text), s["start"] + 1, s["n"]))
+    return F.transform(window_spans(F.size(words(text)), p), lambda s: F.slice(words(text), s["start"] + 1, s["n"]))
 
 
-def window_spans(text: Column, p: ChunkParams = ChunkParams()) -> Column:
-    n = F.size(words(text))
+def window_spans(n: Column, p: ChunkParams = ChunkParams()) -> Column:
+    """Starts and sizes of the windows over n words."""
     starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(p.step))).otherwise(F.array().cast("array<int>"))
     spans = F.transform(starts, lambda s: F.struct(s.alias("start"), F.least(F.lit(p.words), n - s).alias("n")))
     return F.filter(spans, lambda s: (s["start"] == 0) | (s["n"] >= p.min_words))
@@ -45,7 +45,8 @@ def window_spans(text: Column, p: ChunkParams = ChunkParams()) -> Column:
 
 def chunks(sections_: DataFrame, paper: str = "arxiv_id", p: ChunkParams = ChunkParams()) -> DataFrame:
     """Chunks with their id `paper:section_index:chunk_index`, from rows with paper, section_index, section and text."""
-    cut = sections_.withColumn("_w", words(F.col("text"))).select("*", F.posexplode(window_spans(F.col("text"), p)).alias("chunk_index", "_s"))
+    split = sections_.withColumn("_w", words(F.col("text")))
+    cut = split.select("*", F.posexplode_outer(window_spans(F.size("_w"), p)).alias("chunk_index", "_s")).filter(F.col("chunk_index").isNotNull())
     return cut.select(
         F.concat_ws(":", paper, "section_index", "chunk_index").alias("chunk_id"),
         paper,
