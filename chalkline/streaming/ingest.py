@@ -23,9 +23,9 @@ def ingest(spark: SparkSession, source: str, schema: str, sink: str, checkpoint:
 
 def deduplicated(chunks: DataFrame, key: str = "chunk_id", time: str = "ingested_at", delay: str = "7 days") -> DataFrame:
     """First delivery of each chunk within the delay; state older than the watermark is dropped."""
-    return chunks.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
+    return chunks.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
 
 
 def late_counts(chunks: DataFrame, time: str = "ingested_at", delay: str = "7 days", window: str = "1 day") -> DataFrame:
     """Chunks a day by arrival, closed when the watermark has passed."""
-    return chunks.withWatermark(time, delay).groupBy(F.window(time, window).alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("day"), "n")
+    return chunks.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay).groupBy(F.window(time, window).alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("day"), "n")

@@ -77,3 +77,11 @@ def test_stream_deduplicates_and_counts_late_rows(spark, tmp_path):
     q = ingest.late_counts(stream).writeStream.outputMode("complete").format("memory").queryName("late").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r["n"] for r in spark.table("late").collect()) == [1, 2]
+
+
+def test_stream_over_the_delivered_chunks(spark, tmp_path):
+    rows = spark.read.parquet(f"{FOLDER}/chunks_norm.parquet").select("chunk_id", "ingested_at")
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    ingest.deduplicated(stream, delay="400 days").writeStream.format("memory").queryName("own").trigger(availableNow=True).start().awaitTermination()
+    assert spark.table("own").count() == rows.select("chunk_id").distinct().count()
