@@ -1,7 +1,7 @@
 """Filling containers of fixed capacity with items of varying length by minimum bin slack.
 
 Only the histogram of lengths decides how containers are filled, and it has at most `capacity` entries whatever the size of the corpus. One
-task per capacity makes the plan: the longest length that is left opens a container, a bitset of reachable sums finds the multiset of other
+task per capacity makes the plan: the longest lengths that are left open a container, a bitset of reachable sums finds the multiset of other
 lengths that fills it best, and that pattern is used as often as the counts allow. Each use of a pattern brings a count below the pattern's
 need for it, so there are at most sum(1 + capacity / length) patterns, of at most sqrt(2 * capacity) lengths: the plan's size is bounded too.
 The items get their place within their length (hot lengths are ranked in buckets) and look up their container in the plan.
@@ -20,6 +20,9 @@ from chalkline.llm.store import rank_in_group, saved
 
 
 MAX_PACKS = 100
+#: Lengths over this part of the capacity open a container, the largest that fit first; the rest is filled by sums. Left to the sums, they would
+#: be avoided in favour of small lengths, and at the end there would be none left to go with them.
+SEED_PART = 6
 
 
 def best_fill(counts: list[tuple[int, int]], room: int) -> dict[int, int]:
@@ -54,11 +57,15 @@ def fill_plan(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> Iterato
     place = dict.fromkeys(left, 0)
     container = 0
     while left:
-        seed = next(iter(left))
-        left[seed] -= 1
-        used = best_fill(list(left.items()), capacity - seed)
-        left[seed] += 1
-        used[seed] = used.get(seed, 0) + 1
+        large: dict[int, int] = {}
+        room = capacity
+        for a in left:  # descending
+            while (not large or a * SEED_PART > capacity) and a <= room and large.get(a, 0) < left[a]:
+                large[a] = large.get(a, 0) + 1
+                room -= a
+        used = best_fill([(a, c - large.get(a, 0)) for a, c in left.items()], room)
+        for a, n in large.items():
+            used[a] = used.get(a, 0) + n
         times = min(left[a] // n for a, n in used.items())
         for a, n in used.items():
             yield a, place[a], place[a] + n * times, container, n
