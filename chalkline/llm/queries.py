@@ -110,9 +110,11 @@ def p6_ids(t):
 
 @R.add("SELECT doc_id, true AS same FROM documents")
 def p6_round_trip(t):
-    """Every text from its ids back; null and empty texts come back empty."""
-    back = tokens.decoded(tokens.encoded(t("documents")).select("doc_id", "ids"))
-    return t("documents").select("doc_id", F.coalesce("text", F.lit("")).alias("own")).join(back, "doc_id").select("doc_id", (F.col("own") == F.col("text")).alias("same"))
+    """Every text from its ids back, compared by hash and length, so that only those meet; null and empty texts come back empty."""
+    seen = lambda c: (F.xxhash64(c), F.length(c))
+    back = tokens.decoded(tokens.encoded(t("documents")).select("doc_id", "ids")).select("doc_id", F.struct(*seen(F.col("text"))).alias("back"))
+    own = t("documents").select("doc_id", F.struct(*seen(F.coalesce("text", F.lit("")))).alias("own"))
+    return own.join(back, "doc_id").select("doc_id", (F.col("own") == F.col("back")).alias("same"))
 
 
 # --- 7: filling containers -----------------------------------------------------------------------------------------------------------
