@@ -4,8 +4,9 @@ Evidence comes from the corpus's own vocabulary. Every distinct word has an anag
 misreading (o as 0, m as rn) changes it by a fixed difference, so rare words meet their frequent variants by an equi-join on hash plus difference,
 whatever the place of the error. The best-ranked variant is the correction. Words run together are found as two frequent words in one. Hyphens at
 line ends are judged by whether the joined or the hyphenated form is known, and running headers and page numbers by their form at the edge of a
-line. All joins are on distinct words, of which a corpus has few; the most frequent ones (a fixed number) are broadcast to the texts, the rest
-travel as (text, word) and meet the table of corrections in a shuffled join.
+line. Halves of split words and cut-off words grow in number with the corpus, so they are told by how much more frequent the whole word is. All
+joins are on distinct words, of which a corpus has few; the most frequent ones (a fixed number) are broadcast to the texts, the rest travel as
+(text, word) and meet the table of corrections in a shuffled join.
 """
 
 from __future__ import annotations
@@ -66,7 +67,7 @@ TITLE_LINE = re.compile(r"(?<=\n)(?=[A-Z])([^\n.]{12,90}?) \d{1,3}(?=\n)")
 class ScanParams:
     frequent: int = 10  # uses that make a word known
     ratio: int = 20  # times that a variant must be as frequent as the misread word; more for short words
-    glue_ratio: int = 50
+    glue_ratio: int = 50  # also times that a word must be as frequent as the pair of its halves, where both halves are known
     hot: int = 131072  # words in the broadcast part
 
 
@@ -152,6 +153,53 @@ def corrections(words: DataFrame, p: ScanParams = ScanParams()) -> DataFrame:
     return misread.unionByName(glued).groupBy("word").agg(best.alias("_b")).select("word", "_b.fix", "_b.kind", "_b.n")
 
 
+def fragments(words: DataFrame, p: ScanParams = ScanParams()) -> DataFrame:
+    """word: beginnings that are used as words, often enough to be known, of words so much more frequent that they are these cut off."""
+    whole = words.filter((F.col("low") >= p.frequent) & F.col("word").rlike(PLAIN.pattern) & (F.length("word") > 4))
+    begins = whole.select("low", F.explode(F.sequence(F.lit(4), F.length("word") - 1)).alias("_i"), "word").groupBy(F.expr("substring(word, 1, _i)").alias("word")).agg(F.max("low").alias("_most"))
+    return words.filter(F.col("n") >= p.frequent).join(begins, "word").filter(F.col("_most") >= 15 * p.ratio * F.col("n")).select("word")
+
+
+def _pair(a: str, b: str) -> tuple[str, str] | None:
+    """Two neighbouring tokens as the halves that a split word could have, in lower case."""
+    if not a.isalpha():
+        return None
+    b = b.rstrip(EDGE)
+    if not b.isalpha() or not (a.isupper() and len(a) > 1 if b.isupper() else b.islower()) or len(a) + len(b) < 5 or not (a[1:].islower() or len(a) == 1 or a.isupper()):
+        return None
+    return a.lower(), b.lower()
+
+
+def splits(rows: DataFrame, words: DataFrame, fixes: DataFrame, p: ScanParams = ScanParams(), text: str = "text") -> DataFrame:
+    """a, b: neighbouring words that are one split word, as the joined form is known and glue_ratio times as frequent as the pair. Pairs are
+    counted a batch at a time first."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(held: Counter) -> pa.RecordBatch:
+            by: Counter = Counter()
+            for (a, b), n in held.items():
+                if ab := _pair(a, b):
+                    by[ab] += n
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in by], pa.string()), pa.array([b for _, b in by], pa.string()), pa.array(by.values(), pa.int64())], ["a", "b", "n"])
+
+        held: Counter = Counter()
+        for b in sliced(batches):
+            for t in b.column(0).to_pylist():
+                if t:
+                    toks = t.split()
+                    held.update(zip(toks, toks[1:]))
+            if len(held) > 400_000:
+                yield out(held)
+                held = Counter()
+        if held:
+            yield out(held)
+
+    whole = words.filter((F.col("low") >= p.frequent) & F.col("word").rlike(PLAIN.pattern)).join(fixes.select("word"), "word", "left_anti").select("word", "low")
+    pairs = rows.select(text).mapInArrow(count, "a string, b string, n bigint").withColumn("word", F.concat("a", "b"))
+    pairs = pairs.join(whole, "word").groupBy("a", "b").agg(F.sum("n").alias("n"), F.first("low").alias("low"))
+    return pairs.filter(F.col("low") >= p.glue_ratio * F.col("n")).select("a", "b")
+
+
 def _has(ms: tuple[str, ...]):
     c = F.col("word").contains(ms[0])
     for m in ms[1:]:
@@ -161,16 +209,17 @@ def _has(ms: tuple[str, ...]):
 
 # --- the texts -----------------------------------------------------------------------------------------------------------------------
 
-FINE, BAD, HYPHEN, RARE, OPEN, GLUE = range(6)
+FINE, BAD, HYPHEN, RARE, OPEN, GLUE, FIRST = range(7)
 
 
 class Lexicon:
-    """What is known of each token: good words, corrections, and the state of every token seen, kept from batch to batch."""
+    """What is known of each token: good words, corrections, split words, and the state of every token seen, kept from batch to batch."""
 
     MOST = 400_000
 
-    def __init__(self, good: set[str], fixes: dict[str, str]) -> None:
-        self.good, self.fixes = good, fixes
+    def __init__(self, good: set[str], fixes: dict[str, str], splits: frozenset[tuple[str, str]] = frozenset()) -> None:
+        self.good, self.fixes, self.splits = good, fixes, splits
+        self.firsts = {a for a, _ in splits}
         self.states: dict[str, int] = {}
         self.begins: set[str] | None = None
 
@@ -192,11 +241,16 @@ class Lexicon:
         if (m := DIGIT_GLUE.match(t.rstrip(EDGE))) and m[1] in self.good:
             return GLUE
         c = core(t)
+        fine = FIRST if t.isalpha() and t.lower() in self.firsts else FINE
         if c is None or len(c) < 2:
-            return FINE
+            return fine
         if c in self.fixes:
             return BAD
-        return FINE if c in self.good or "-" in c else RARE
+        return fine if c in self.good or "-" in c else RARE
+
+    def split(self, a: str, b: str) -> bool:
+        """Whether two neighbouring tokens are one split word."""
+        return _pair(a, b) in self.splits
 
     def known(self, w: str) -> bool:
         return w in self.good
@@ -248,6 +302,8 @@ def damage(text: str, lex: Lexicon) -> tuple[int, list[str]]:
             continue
         if s == HYPHEN:
             found += joins(toks[i], toks[i + 1], lex) if i < last else toks[i][-1] != "-" or not lex.known(toks[i][:-1].lower())
+        elif s == FIRST:
+            found += i < last and states[i + 1] in (FINE, FIRST) and lex.split(toks[i], toks[i + 1])
         elif s == OPEN:
             found += not any(")" in t for t in toks[i : i + 14])
         elif s == RARE:
@@ -272,7 +328,7 @@ def _hot(words: DataFrame, fixes: DataFrame, p: ScanParams) -> tuple[set[str], d
     """The broadcast part: at most p.hot good words and p.hot corrections, the most frequent ones, of at most 24 characters each. Words with an
     inner hyphen are taken as they are, to know sound compounds."""
     hot_fix = {r["word"]: r["fix"] for r in most_frequent(fixes, "n", p.hot).select("word", "fix").collect()}
-    good = most_frequent(words.filter(F.col("n") >= p.frequent), "n", p.hot).join(fixes.select("word"), "word", "left_anti")
+    good = most_frequent(words.filter(F.col("n") >= p.frequent), "n", p.hot).join(fixes.select("word"), "word", "left_anti").join(fragments(words, p), "word", "left_anti")
     return {r["word"] for r in good.select("word").collect()}, hot_fix
 
 
@@ -290,7 +346,7 @@ def learned(rows: DataFrame, text: str = "text", p: ScanParams = ScanParams()) -
     """Vocabulary and corrections of a corpus; both tables are written to the shared folder."""
     words = saved(vocabulary(rows, text))
     fixes = saved(corrections(words, p))
-    hot = _hot(words, fixes, p)
+    hot = (*_hot(words, fixes, p), frozenset((r["a"], r["b"]) for r in splits(rows, words, fixes, p, text).collect()))
     return Noise(words, fixes, rows.sparkSession.sparkContext.broadcast(hot), fixes.count() > len(hot[1]))
 
 
@@ -381,7 +437,9 @@ def repaired_text(text: str, lex: Lexicon, more: dict[str, str]) -> str:
         a, b = m[1].lower(), m[2].lower()
         if m[2].isupper() != (m[1].isupper() and len(m[1]) > 1):
             return m[0]
-        return m[1] + m[2] if len(a + b) > 4 and len(a) > 1 and lex.known(a + b) and not (lex.known(a) and lex.known(b)) else m[0]
+        if lex.split(m[1], m[2]):
+            return m[1] + m[2]
+        return m[1] + m[2] if len(a + b) > 4 and len(a) > 1 and lex.known(a + b) and not (lex.known(a) and (lex.known(b) or len(b) == 1)) else m[0]
 
     for _ in range(2):  # the second time for pairs that overlap
         text = halves.sub(half, text)

@@ -138,3 +138,18 @@ def test_spam_edge_tables(spark):
     assert spam.judged(docs, common).count() == 0
     one = spark.createDataFrame([(1, PROSE)], "doc_id bigint, text string")
     assert [r["is_spam"] for r in spam.judged(one, common.limit(0)).collect()] == [False]
+
+
+# --- evidence that does not depend on the size of the corpus ---
+
+
+def test_split_and_cut_words_are_found_however_often_they_occur(spark):
+    """Halves and cut-off words with more uses than make a word known, in a large corpus."""
+    rows = [(i, (GOOD + "The surface albedo of the basin is low. ") * 2 + TAIL) for i in range(2500)]
+    bad = [(10_000 + i, "The heat flux over the basin retu rned to its former level by the end of the record." + TAIL) for i in range(15)]
+    bad += [(20_000 + i, "Records of the basin and of the surface albed and the heat flux explain most of it." + TAIL) for i in range(15)]
+    docs = spark.createDataFrame(rows + bad, "chunk_ord bigint, text string")
+    noise = scans.learned(docs)
+    assert {r["chunk_ord"] for r in scans.damaged(docs, noise).collect()} == {k for k, _ in bad}
+    fixed = {r["chunk_ord"]: r["clean_text"] for r in scans.repaired(docs, noise).filter("changed").collect()}
+    assert fixed == {k: t.replace("retu rned", "returned") for k, t in bad if k < 20_000}
