@@ -6,7 +6,7 @@ whatever the place of the error. The best-ranked variant is the correction. Word
 line ends are judged by whether the joined or the hyphenated form is known, and running headers and page numbers by their form at the edge of a
 line. Halves of split words and cut-off words grow in number with the corpus, so they are told by how much more frequent the whole word is. All
 joins are on distinct words, of which a corpus has few; the most frequent ones (a fixed number) are broadcast to the texts, the rest travel as
-(text, word) and meet the table of corrections in a shuffled join.
+(text, word) and meet the tables of corrections and of known words in a shuffled join.
 """
 
 from __future__ import annotations
@@ -125,8 +125,9 @@ def _hash_column(word):
 
 def corrections(words: DataFrame, p: ScanParams = ScanParams()) -> DataFrame:
     """word, fix, kind, n: for each damaged word the best-ranked correction; kind is 'misread' or 'glued'. words: word, n, low."""
-    known = most_frequent(words.filter((F.col("low") >= p.frequent) & F.col("word").rlike(PLAIN.pattern)), "n", p.hot)
-    known = F.broadcast(known.select(F.col("word").alias("fix"), F.col("n").alias("fn")))  # at most p.hot short words
+    known = words.filter((F.col("low") >= p.frequent) & F.col("word").rlike(PLAIN.pattern)).select(F.col("word").alias("fix"), F.col("n").alias("fn"))
+    if known.limit(p.hot + 1).count() <= p.hot:
+        known = F.broadcast(known)  # at most p.hot short words; more of them meet in shuffled joins
     words = words.filter(~F.col("word").contains("-"))  # compounds only tell which hyphens are sound
     rare = words.filter((F.length("word") >= 3) & ~F.col("word").rlike("^[0-9]"))
     rare = rare.unionByName(words.filter((F.length("word") >= 3) & F.col("word").rlike("^[0-9][a-z]{2,}")))
@@ -223,6 +224,10 @@ class Lexicon:
         self.states: dict[str, int] = {}
         self.begins: set[str] | None = None
 
+    def knowing(self, facts: list[str] | None) -> Lexicon:
+        """This lexicon, for one text, with facts that are not in the broadcast part."""
+        return Wider(self, set(facts)) if facts else self
+
     def state(self, t: str) -> int:
         s = self.states.get(t)
         if s is None:
@@ -262,6 +267,61 @@ class Lexicon:
         return c in self.begins
 
 
+class Either:
+    """Two sets as one, without a copy."""
+
+    def __init__(self, a, b) -> None:
+        self.a, self.b = a, b
+
+    def __contains__(self, x) -> bool:
+        return x in self.a or x in self.b
+
+
+class Wider(Lexicon):
+    """A lexicon with facts for one text: known words, halves of split words ('a b') and beginnings of known words ('a*')."""
+
+    def __init__(self, base: Lexicon, facts: set[str]) -> None:
+        pairs = {tuple(f.split(" ")) for f in facts if " " in f}
+        self.base, self.facts, self.fixes, self.states = base, facts, base.fixes, {}
+        self.good, self.splits, self.firsts = Either(base.good, facts), Either(base.splits, pairs), Either(base.firsts, {a for a, _ in pairs})
+
+    def cut(self, c: str) -> bool:
+        return c + "*" in self.facts or self.base.cut(c)
+
+
+def asked(text: str, lex: Lexicon) -> set[str]:
+    """The facts that damage() and repaired_text() could ask for, whatever the answers, and that are not in the broadcast part."""
+    out: set[str] = set()
+    for t in {text, LIGATURE.sub(lambda m: LIGATURES[m[0]], _headless(text))}:
+        toks = t.split()
+        forms = []
+        for a in toks:
+            bare, c = a.rstrip(EDGE), core(a)
+            low = {a.lower(), bare.lower(), bare.lstrip("\"'(").lower()}
+            if c:
+                low |= {c, lex.fixes.get(c, c)}
+                out.add(c + "*")
+            if a[0] == "(":
+                out |= {a[1:].rstrip(EDGE), "c" + a[1:].rstrip(EDGE)}
+            if m := PUNCT_GLUE.match(bare):
+                low |= {m[1], m[3].lower()}
+            if m := DIGIT_GLUE.match(bare):
+                low.add(m[1])
+            forms.append(low)
+            out |= low
+            if a[-1] in HYPHENS:
+                out |= {x[:-1] for x in low}
+        for i, (a, b) in enumerate(zip(toks, toks[1:])):
+            for x in forms[i]:
+                for y in forms[i + 1]:
+                    if x[-1:] and x[-1] in HYPHENS:
+                        out |= {x[:-1] + y, f"{x[:-1]}-{y}"}
+                    elif x.isalpha() and y.isalpha():
+                        out |= {x + y, f"{x} {y}"}
+                        out |= {x + y + z for z in forms[i + 2] if z.isalpha()} if i + 2 < len(toks) else set()
+    return {f for f in out if len(f) > 1 and f not in lex.good}
+
+
 def joins(a: str, b: str, lex: Lexicon) -> bool:
     """Whether a token that ends in a hyphen and the next one are one broken word."""
     w1, h, w2 = a[:-1].lstrip("\"'("), a[-1], b.rstrip(EDGE)
@@ -324,11 +384,15 @@ def damage(text: str, lex: Lexicon) -> tuple[int, list[str]]:
     return found, rare
 
 
+def _known(words: DataFrame, fixes: DataFrame, p: ScanParams) -> DataFrame:
+    return words.filter(F.col("n") >= p.frequent).join(fixes.select("word"), "word", "left_anti").join(fragments(words, p), "word", "left_anti")
+
+
 def _hot(words: DataFrame, fixes: DataFrame, p: ScanParams) -> tuple[set[str], dict[str, str]]:
     """The broadcast part: at most p.hot good words and p.hot corrections, the most frequent ones, of at most 24 characters each. Words with an
     inner hyphen are taken as they are, to know sound compounds."""
     hot_fix = {r["word"]: r["fix"] for r in most_frequent(fixes, "n", p.hot).select("word", "fix").collect()}
-    good = most_frequent(words.filter(F.col("n") >= p.frequent), "n", p.hot).join(fixes.select("word"), "word", "left_anti").join(fragments(words, p), "word", "left_anti")
+    good = most_frequent(_known(words, fixes, p), "n", p.hot)
     return {r["word"] for r in good.select("word").collect()}, hot_fix
 
 
@@ -340,14 +404,41 @@ class Noise:
     fixes: DataFrame
     hot: object
     rest: bool  # whether some corrections are not in the hot part
+    more: DataFrame | None = None  # fact: known words, split words and beginnings, if some are not in the hot part
 
 
 def learned(rows: DataFrame, text: str = "text", p: ScanParams = ScanParams()) -> Noise:
     """Vocabulary and corrections of a corpus; both tables are written to the shared folder."""
     words = saved(vocabulary(rows, text))
     fixes = saved(corrections(words, p))
-    hot = (*_hot(words, fixes, p), frozenset((r["a"], r["b"]) for r in splits(rows, words, fixes, p, text).collect()))
-    return Noise(words, fixes, rows.sparkSession.sparkContext.broadcast(hot), fixes.count() > len(hot[1]))
+    pairs = saved(splits(rows, words, fixes, p, text))
+    good, hot_fix = _hot(words, fixes, p)
+    known = saved(_known(words, fixes, p))
+    own = frozenset((r["a"], r["b"]) for r in pairs.collect()) if (few := pairs.count() <= p.hot) else frozenset()
+    more = None
+    if known.count() > len(good) or not few:
+        begins = known.select(F.col("word"), F.explode(F.expr("sequence(4, greatest(4, length(word) - 1))")).alias("_i")).filter(F.length("word") > F.col("_i"))
+        more = known.select(F.col("word").alias("fact")).unionByName(pairs.select(F.concat_ws(" ", "a", "b").alias("fact")))
+        more = saved(more.unionByName(begins.select(F.expr("concat(substring(word, 1, _i), '*')").alias("fact"))).distinct())
+    return Noise(words, fixes, rows.sparkSession.sparkContext.broadcast((good, hot_fix, own)), fixes.count() > len(hot_fix), more)
+
+
+def _informed(rows: DataFrame, noise: Noise, key: str, text: str) -> DataFrame:
+    """key, text, and _x: the facts each text asks for and that are not in the broadcast part; null if all are. Only then do texts shuffle. A
+    repeated key has the facts of all its rows."""
+    rows = rows.select(key, text)
+    if noise.more is None:
+        return rows.withColumn("_x", F.lit(None).cast("array<string>"))
+    kind, hot = rows.schema[key].dataType.simpleString(), noise.hot
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex = Lexicon(*hot.value)
+        for b in sliced(batches, 128):
+            got = [(k, f) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if t for f in asked(t, lex)]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], b.column(0).type), pa.array([f for _, f in got], pa.string())], ["_k", "fact"])
+
+    facts = rows.mapInArrow(ask, f"_k {kind}, fact string").join(noise.more, "fact").groupBy("_k").agg(F.collect_set("fact").alias("_x"))
+    return rows.join(facts, F.col(key).eqNullSafe(F.col("_k")), "left").select(key, text, "_x")
 
 
 def evidence(rows: DataFrame, noise: Noise, key: str = "chunk_ord", text: str = "text", q: prose.ProseParams = prose.ProseParams()) -> DataFrame:
@@ -360,7 +451,7 @@ def evidence(rows: DataFrame, noise: Noise, key: str = "chunk_ord", text: str =
         lex, known = Lexicon(*hot.value), prose.Words()
         for b in sliced(batches):
             texts = b.column(1).to_pylist()
-            got = [damage(t, lex) if t else (0, []) for t in texts]
+            got = [damage(t, lex.knowing(x)) if t else (0, []) for t, x in zip(texts, b.column(2).to_pylist())]
             some = [i for i, (n, r) in enumerate(got) if n or r and travels]
             stats = prose.batch_stats([texts[i] for i in some], known, q)
             is_prose = np.zeros(len(texts), bool)
@@ -368,7 +459,7 @@ def evidence(rows: DataFrame, noise: Noise, key: str = "chunk_ord", text: str =
             rare = [sorted(set(r)) if travels and is_prose[i] else [] for i, (_, r) in enumerate(got)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for n, _ in got], pa.int32()), pa.array(is_prose), pa.array(rare, pa.list_(pa.string()))], [key, "places", "is_prose", "rare"])
 
-    return rows.select(key, text).mapInArrow(run, f"`{key}` {kind}, places int, is_prose boolean, rare array<string>")
+    return _informed(rows, noise, key, text).mapInArrow(run, f"`{key}` {kind}, places int, is_prose boolean, rare array<string>")
 
 
 def _met(seen: DataFrame, noise: Noise, key: str) -> DataFrame:
@@ -395,8 +486,8 @@ def damaged(rows: DataFrame, noise: Noise, key: str = "chunk_ord", text: str = "
 BREAK = re.compile(rf"([^\W\d_][\w'’|(]*)([{HYPHENS}])(?:[ \t]+|[ \t]*\n[ \t]*)([^\W\d_][\w'’|(]*)")
 
 
-def repaired_text(text: str, lex: Lexicon, more: dict[str, str]) -> str:
-    """The text as continuous paragraphs: headers out, broken words joined, misread, run-together and split words put right."""
+def _headless(text: str) -> str:
+    """The text without its running headers."""
     spans: list[list[int]] = []
     for a, b in sorted(headers(text)):
         if spans and a <= spans[-1][1]:
@@ -407,6 +498,12 @@ def repaired_text(text: str, lex: Lexicon, more: dict[str, str]) -> str:
         left, right = text[:a].rstrip(), text[b:].lstrip()
         blank = text[len(left) : a].count("\n") + text[b : len(text) - len(right)].count("\n")
         text = left + ("" if not left or not right else "\n\n" if blank > 2 else "\n" if blank else " ") + right
+    return text
+
+
+def repaired_text(text: str, lex: Lexicon, more: dict[str, str]) -> str:
+    """The text as continuous paragraphs: headers out, broken words joined, misread, run-together and split words put right."""
+    text = _headless(text)
     text = LIGATURE.sub(lambda m: LIGATURES[m[0]], text)
     text = BREAK.sub(lambda m: m[1] + m[3] if joins(m[1] + m[2], m[3], lex) else m[0], text)
     fixes = lex.fixes
@@ -464,8 +561,8 @@ def repaired(rows: DataFrame, noise: Noise, key: str = "chunk_ord", text: str =
         lex = Lexicon(*hot.value)
         for b in sliced(batches):
             old = b.column(1).to_pylist()
-            new = [t if f is None or not t else repaired_text(t, lex, {x["word"]: x["fix"] for x in f if x["word"]}) for t, f in zip(old, b.column(2).to_pylist())]
+            new = [t if f is None or not t else repaired_text(t, lex.knowing(k), {x["word"]: x["fix"] for x in f if x["word"]}) for t, k, f in zip(old, b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(new, pa.string()), pa.array([x != y for x, y in zip(old, new)])], [key, "clean_text", "changed"])
 
-    joined = rows.select(key, text).join(todo, F.col(key) == F.col("_key"), "left").select(key, text, "_f")
+    joined = _informed(rows, noise, key, text).join(todo, F.col(key) == F.col("_key"), "left").select(key, text, "_x", "_f")
     return joined.mapInArrow(run, f"`{key}` {kind}, clean_text string, changed boolean")

@@ -153,3 +153,12 @@ def test_split_and_cut_words_are_found_however_often_they_occur(spark):
     assert {r["chunk_ord"] for r in scans.damaged(docs, noise).collect()} == {k for k, _ in bad}
     fixed = {r["chunk_ord"]: r["clean_text"] for r in scans.repaired(docs, noise).filter("changed").collect()}
     assert fixed == {k: t.replace("retu rned", "returned") for k, t in bad if k < 20_000}
+
+
+@pytest.mark.parametrize("hot", [3, 40])
+def test_known_words_beyond_the_broadcast_part_count_too(spark, hot):
+    rows = spark.createDataFrame(corpus([*DAMAGED, *SOUND]), "chunk_ord bigint, text string")
+    noise = scans.learned(rows, p=scans.ScanParams(hot=hot))
+    assert {r["chunk_ord"] for r in scans.damaged(rows, noise).collect()} == {1000 + i for i in range(len(DAMAGED))}
+    got = {r["chunk_ord"]: r["clean_text"] for r in scans.repaired(rows, noise).filter("changed").collect()}
+    assert got == {1000 + i: want + TAIL for i, want in enumerate(DAMAGED.values())}
