@@ -27,7 +27,6 @@ URL = re.compile(r"(?:https?://|www\.)[^\s\x02\x03]+|(?<![\w@.])(?:[a-z0-9-]+\.)
 #: Links with their text: HTML, Markdown, wiki.
 LINK = re.compile(r"<a\s[^<>]*>(.*?)</a>|!?\[([^\[\]\n]{1,200})\]\([^()\s]*\)|\[(?:https?://)\S+ ([^\[\]\n]{1,200})\]", re.S | re.I)
 TAG = re.compile(r"<[^<>]{1,300}>")
-SIMPLE = re.compile(r"[^\W_]+")
 LEET = str.maketrans("013457@$", "oieastas")
 #: Letters of other scripts that look like Latin ones.
 ALIKE = str.maketrans("аеорсухіјѕԁһոΑΕΟΡΧοαАЕОРСХТМНВК", "aeopcyxijsdhnaeopxoaaeopcxtmhbk")
@@ -39,7 +38,7 @@ TOKEN = re.compile(r"[\x02-\x04]|#?[^\W_](?:\w*[^\W_])?(?:['’][^\W_]+)*|#\w+|\
 WORDLIKE = re.compile(r"\w|#\w")
 PARTING = set("|/·•»>*–—-;,….!?")
 SEPARATORS = set(",;|/·•»>*–—-")
-TAGGED, BARE_ADDRESS, COUNTED = re.compile(r"(?:^|\s)#\w"), re.compile(r"[a-z0-9]\.[a-z]{2,10}/"), re.compile(r"\(\d{1,3}\)")
+COUNTED = re.compile(r"\(\d{1,3}\)")
 #: Words of page menus.
 MENU = set("home archive share help login logout rss sitemap contact next previous top more maps map about shop data search subscribe newsletter imprint impressum privacy cookies cart checkout menu back print email register account faq terms".split())
 #: Function words of English, German, French and Spanish beyond the delivered list, so that short sentences are known.
@@ -76,13 +75,6 @@ def lexicon(common: DataFrame) -> dict[str, set[str]]:
     return out
 
 
-def _anchored(text: str) -> bool:
-    """Whether a text has anything that looks like a link, a product or a tag."""
-    if any(x in text for x in ("http", "www.", "<a ", "<A ", "](", "»", "SKU", "sku", "Sku")):
-        return True
-    return "#" in text and TAGGED.search(text) is not None or "/" in text and BARE_ADDRESS.search(text) is not None or text.count("(") >= 4 and len(COUNTED.findall(text)) >= 4
-
-
 def _norm(w: str) -> str:
     w = w.lower()
     if not w.isascii():
@@ -200,16 +192,6 @@ def _language(hits: dict[str, int]) -> str:
 def features(text: str, lexis: Lexis) -> tuple[str, int, list[float], float]:
     """(language, words, the FEATURES, spam share) of one page. Every word counts once: as link, as item, or as repeated."""
     text = KEYLINE.sub(" ", INVISIBLE.sub("", text)) if ":" in text or not text.isascii() else text
-    if not _anchored(text):
-        # Without links and tags, enough function words and no word that stands out: a page of sentences. Lists fill a third of it at most.
-        c = Counter(SIMPLE.findall(text.lower()))
-        n = sum(c.values())
-        if not n:
-            return "none", 0, [0.0] * len(FEATURES), 0.0
-        share = sum(m for w, m in c.items() if w in lexis.every) / n
-        if share >= 0.3 and max((m for w, m in c.items() if w not in lexis.every), default=0) < max(4, 0.08 * n):
-            p = np.array([m for w, m in c.items() if not w.isdigit()], float)
-            return _language({k: sum(c[w] for w in v & c.keys()) for k, v in lexis.lex.items()}), n, [0.0, 0.0, 0.0, _gap(p), 0.0, round(max(0.0, 0.35 - share), 6)], 0.0
     if "<" in text or "](" in text or "[http" in text:
         plain, at = [], 0
         for m in LINK.finditer(text):

@@ -162,3 +162,16 @@ def test_known_words_beyond_the_broadcast_part_count_too(spark, hot):
     assert {r["chunk_ord"] for r in scans.damaged(rows, noise).collect()} == {1000 + i for i in range(len(DAMAGED))}
     got = {r["chunk_ord"]: r["clean_text"] for r in scans.repaired(rows, noise).filter("changed").collect()}
     assert got == {1000 + i: want + TAIL for i, want in enumerate(DAMAGED.values())}
+
+
+def _one_spam(spark, page):
+    rows = [(i, PROSE + f" It was run {i} of the set.") for i in range(200)] + [(1000, page)]
+    found = spam.judged(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(COMMON, "lang string, word string"))
+    return [r["doc_id"] for r in found.filter("is_spam").collect()]
+
+
+def test_phrases_without_an_outstanding_single_word_are_measured(spark):
+    """Two phrases of four words, each word 7 % of the page, inside sentences with 44 % function words."""
+    few = "the of and to in a is was that for it as with on by".split()
+    page = " ".join(("solar kit battery charger " if i % 2 else "rain gauge sensor module ") + " ".join(few[(3 * i + j) % 15] for j in range(3)) + ("." if i % 4 == 3 else "") for i in range(28))
+    assert _one_spam(spark, page) == [1000]
