@@ -175,3 +175,15 @@ def test_phrases_without_an_outstanding_single_word_are_measured(spark):
     few = "the of and to in a is was that for it as with on by".split()
     page = " ".join(("solar kit battery charger " if i % 2 else "rain gauge sensor module ") + " ".join(few[(3 * i + j) % 15] for j in range(3)) + ("." if i % 4 == 3 else "") for i in range(28))
     assert _one_spam(spark, page) == [1000]
+
+
+@pytest.mark.parametrize(("words", "keywords"), [(300, 15), (300, 25), (2000, 60), (4000, 130)])
+def test_many_keywords_in_changing_order_are_repeats(spark, words, keywords):
+    """No keyword covers 7 % of the page; together they cover three quarters of it, inside sentences."""
+    draw, few = random.Random(1), "the of and to in a is was that for".split()
+    names = [f"{a}{b}{c}" for a in ("gauge", "meter", "pump", "valve", "logger") for b in ("rel", "tor", "min", "dax", "vop", "sul") for c in ("na", "ki", "mo", "tu", "re")][:keywords]
+    page, left = [], []
+    while len(page) < words:
+        left = left if len(left) >= 3 else draw.sample(names, len(names))
+        page += [left.pop(), left.pop(), left.pop(), draw.choice(few) + "." * (len(page) % 24 == 20)]
+    assert _one_spam(spark, " ".join(page)) == [1000]
