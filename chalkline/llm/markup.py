@@ -24,17 +24,17 @@ from chalkline.llm.store import sliced
 ENTITY = re.compile(r"&(?:[A-Za-z]{2,8}|#\d{1,6}|#x[0-9A-Fa-f]{1,6});")
 ATTRIBUTE = r"(?:href|src|alt|class|id|name|title|style|width|height|align|border|colspan|rel)"
 #: What counts as residue, by kind. Each pattern also fits when the edge of a window has cut the construct. It is tried only in
-#: texts that have one of the fixed parts beside it.
+#: texts that have one of the fixed parts beside it, which every match holds.
 RESIDUE = (
     ("html", ("<",), r"</?[A-Za-z][A-Za-z0-9]*(?=[\s/>]|$)|<!--"),
     ("html", ("-->", "/>"), r"-->|/>"),
-    ("html", ('="', "='", "name=", "class=", "id=", "href=", "src=", "width=", "height="), rf"(?<![\w$]){ATTRIBUTE}=(?:[\"']|\w)|=\"[^\"]*\">"),
+    ("html", ("=",), rf"(?<![\w$]){ATTRIBUTE}=(?:[\"']|\w)|=\"[^\"]*\">"),
     ("entity", ("&",), ENTITY.pattern),
     ("markdown", ("](", "][", "]:", "[^", "!["), r"\]\(|\]\[|\]:\s|\[\^|!\["),
     ("markdown", ("*",), r"\*\*|(?<![\w*])\*(?=[A-Za-z0-9])"),
     ("markdown", ("~~", "`"), r"~~|`"),
     ("markdown", ("__",), r"(?<![A-Za-z0-9])__(?=[A-Za-z0-9])|(?<=[A-Za-z0-9.,])__(?![A-Za-z0-9_])"),
-    ("markdown", ("# ", "#\n"), r"(?:^|(?<=\s))#{1,6}(?=\s+\S)"),
+    ("markdown", ("#",), r"(?:^|(?<=\s))#{1,6}(?=\s+\S)"),
     ("markdown", ("|",), r"\|(?:\s*:?-{2,}:?\s*\|)+|(?m:^[ \t]*\|.*\|[ \t]*$)"),
     ("wiki", ("[[", "]]", "{{", "}}", "{|", "|}", "''", "||"), r"\[\[|\]\]|\{\{|\}\}|\{\||\|\}|''|\|\|"),
     ("wiki", ("|",), r"(?:^|(?<=\s))\|-(?=\s|$)|\|[a-z]+=|\|(?:thumb|left|right|frame)\|"),
@@ -42,7 +42,7 @@ RESIDUE = (
     ("wiki", ("[http", "[ftp"), r"\[(?:https?|ftp)://"),
     ("latex", ("\\",), r"\\(?:[A-Za-z]+|[%,&_#$\;:!{}\[\]()])|\{\\|[A-Za-z.]~\\"),
     ("latex", ("$",), r"\$(?=[A-Za-z\\^_{$])|(?<=[A-Za-z}])\$(?!\d)"),
-    ("latex", (" & ",), r"\s&\s+-?\d|\d\s+&\s"),
+    ("latex", ("&",), r"\s&\s+-?\d|\d\s+&\s"),
     ("latex", ("}",), r"(?<![\w{])[A-Za-z][a-z]+[.,]?\}|(?<![\w.])-?\d+(?:\.\d+)?\}"),
     ("latex", ("~",), r"[A-Za-z.]~[A-Za-z]"),
 )

@@ -123,3 +123,8 @@ def test_cleaned_table(spark):
     got = markup.cleaned(df).orderBy("chunk_ord").collect()
     assert [(r["clean_text"], r["n_residues"]) for r in got[:4]] == [("a b", 2), (None, 0), ("plain", 0), ("plain", 0)]
     assert got[4]["n_residues"] == 4000 and got[4]["n_left"] == 0 and markup.cleaned(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("text", ["border=1 align=center>the heat flux", "a run\n& 3.2 of it", "4\t&\tof it", "a line\n#\tThe heat flux"])
+def test_fixed_parts_are_held_by_every_match(text):
+    assert sum(markup.residues(text).values()) > 0
