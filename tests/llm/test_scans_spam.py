@@ -187,3 +187,26 @@ def test_many_keywords_in_changing_order_are_repeats(spark, words, keywords):
         left = left if len(left) >= 3 else draw.sample(names, len(names))
         page += [left.pop(), left.pop(), left.pop(), draw.choice(few) + "." * (len(page) % 24 == 20)]
     assert _one_spam(spark, " ".join(page)) == [1000]
+
+
+def test_pages_of_a_batch_do_not_touch_each_other():
+    """Features of a page are the same alone, in a batch, and between other pages; a page of any length and with open tags is read whole."""
+    lex = {k: set(v) for k, v in spam.MORE_WORDS.items()}
+    pages = ["", "…", *SPAM, *FINE, "<a href=x>" * 3000 + "wind", "< 0.05 of the flux and > 3", "[" * 5000, "[a](b) " * 4000, "heat " * 20_000]
+    langs, n, x = spam.batch_features(pages, spam.Lexis(lex))
+    back = spam.batch_features(pages[::-1], spam.Lexis(lex))
+    for i, p in enumerate(pages):
+        one = spam.batch_features([p], spam.Lexis(lex))
+        assert (langs[i], n[i], x[:, i].tolist()) == (one[0][0], one[1][0], one[2][:, 0].tolist())
+        assert (x[:, i] == back[2][:, len(pages) - 1 - i]).all()
+
+
+def test_distance_and_direction_both_decide(spark):
+    """Tables and code lie far out in another direction; a text with some links lies in the spam direction, but near."""
+    some = PROSE * 3 + "\n\nSources:\n" + "\n".join(f"https://a{i}.example/x" for i in range(3))
+    rows = [(i, PROSE + f" It was run {i} of the set.") for i in range(200)] + [(1000, "\n".join(f"{i}.5 {i}.25 -{i}.125 x{i}" for i in range(40))), (1001, some), (1002, SPAM[0])]
+    got = {r["doc_id"]: r for r in spam.judged(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(COMMON, "lang string, word string")).filter("doc_id >= 1000").collect()}
+    p = spam.SpamParams()
+    assert not got[1000]["is_spam"] and got[1000]["direction"] < p.direction
+    assert got[1001]["direction"] > 0 and got[1001]["distance"] < p.distance and not got[1001]["is_spam"]
+    assert got[1002]["is_spam"]
