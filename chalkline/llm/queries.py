@@ -50,7 +50,7 @@ l AS (SELECT question_id, question_set, CASE WHEN s IN ({", ".join(f"'{t}'" for
 u AS (SELECT l.*, t.* EXCLUDE (question_set, section_type), md5('42:' || question_id) AS h FROM l JOIN targets t USING (question_set, section_type) WHERE paper IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY question_set, section_type, paper ORDER BY md5('42:' || question_id)) <= per_paper),
 p AS (SELECT *, row_number() OVER (PARTITION BY question_set, section_type ORDER BY h) AS place FROM u),
-r AS (SELECT *, CASE WHEN place <= min_rows THEN 0.0 WHEN target_share * sample_size > 0 THEN (place - 0.5) / (target_share * sample_size) END AS pr FROM p),
+r AS (SELECT *, CASE WHEN place <= min_rows THEN place::DOUBLE WHEN target_share * sample_size > 0 THEN (place - 0.5) / (target_share * sample_size) END AS pr FROM p),
 d AS (SELECT *, row_number() OVER (PARTITION BY question_set ORDER BY (place > min_rows)::INT, pr, section_type, place) AS seat FROM r WHERE pr IS NOT NULL QUALIFY seat <= sample_size),
 report AS (SELECT question_set, section_type, greatest(min_rows::DOUBLE, round(target_share * sample_size, 6)) AS wanted, coalesce(c.usable, 0) AS usable, coalesce(e.drawn, 0) AS drawn
   FROM targets LEFT JOIN (SELECT question_set, section_type, count(*) AS usable FROM u GROUP BY 1, 2) c USING (question_set, section_type) LEFT JOIN (SELECT question_set, section_type, count(*) AS drawn FROM d GROUP BY 1, 2) e USING (question_set, section_type))"""
@@ -58,8 +58,9 @@ report AS (SELECT question_set, section_type, greatest(min_rows::DOUBLE, round(t
 
 @R.add(f"WITH {SAMPLE} SELECT question_set, section_type FROM report WHERE wanted > usable")
 def p3_found(t):
+    """Of the types for which the draw fell short those that could not be served at all; short for want of seats alone is none."""
     report = quota.sample(t("questions"), t("question_targets"))[1]
-    return report.filter("unmet").select("question_set", "section_type")
+    return report.filter("short AND unmet").select("question_set", "section_type")
 
 
 @R.add(f"WITH {SAMPLE} SELECT question_set, section_type, question_id, paper, place::INT AS place, seat::INT AS seat FROM d")
@@ -67,9 +68,9 @@ def p3_sample(t):
     return quota.sample(t("questions"), t("question_targets"))[0]
 
 
-@R.add(f"WITH {SAMPLE} SELECT question_set, section_type, wanted, usable, drawn FROM report")
+@R.add(f"WITH {SAMPLE} SELECT question_set, section_type, wanted, usable, drawn, wanted > usable AS unmet, wanted > drawn AS short FROM report")
 def p3_report(t):
-    return quota.sample(t("questions"), t("question_targets"))[1].select("question_set", "section_type", "wanted", "usable", "drawn")
+    return quota.sample(t("questions"), t("question_targets"))[1].select("question_set", "section_type", "wanted", "usable", "drawn", "unmet", "short")
 
 
 # --- 4: splitting oversized items ----------------------------------------------------------------------------------------------------

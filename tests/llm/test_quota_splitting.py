@@ -67,6 +67,26 @@ def test_exhausted_seats_go_to_the_others_and_hot_groups(spark):
     assert r == {"intro": (10.0, 5, 5, True), "methods": (10.0, 100, 15, False)}
 
 
+def test_floors_that_exceed_the_size_are_served_in_turn_and_reported(spark):
+    rows = [(f"{t}{i}", "s", t, f"p{i}") for t in ("intro", "methods", "results") for i in range(5)]
+    targets = spark.createDataFrame([("s", t, 4, 0.25, 2, 9) for t in ("intro", "methods", "results")], T)
+    got, report = quota.sample(questions(spark, rows), targets)
+    assert Counter(r["section_type"] for r in got.collect()) == {"intro": 2, "methods": 1, "results": 1}
+    assert {r["section_type"]: (r["unmet"], r["short"]) for r in report.collect()} == {"intro": (False, False), "methods": (False, True), "results": (False, True)}
+
+
+def test_no_cap_for_a_hot_paper_and_a_large_sample(spark):
+    """A null per_paper is no cap; places of a hot paper and type are right beyond any one bucket."""
+    rows = [(f"b{i}", "s", "methods", "hot") for i in range(4000)] + [(f"a{i}", "s", "intro", "hot") for i in range(300)]
+    targets = spark.createDataFrame([("s", "methods", 2000, 0.9, 100, None), ("s", "intro", 2000, 0.1, 150, None)], T)
+    got = quota.sample(questions(spark, rows), targets)[0].collect()
+    assert sorted(r["seat"] for r in got) == list(range(1, 2001))
+    n = Counter(r["section_type"] for r in got)
+    assert n == {"methods": 1800, "intro": 200}
+    for t, k in n.items():
+        assert sorted(r["place"] for r in got if r["section_type"] == t) == list(range(1, k + 1))
+
+
 def test_empty_tables(spark):
     q, t = questions(spark, [("a", "s", "intro", "p")]), spark.createDataFrame([("s", "intro", 2, 1.0, 0, None)], T)
     got, report = quota.sample(q.limit(0), t)
