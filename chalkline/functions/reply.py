@@ -49,19 +49,19 @@ def flags_of(value) -> list[int] | None:
     return bits or None
 
 
-def ranking_of(text: str | None, n: int) -> list[int]:
-    """Candidate numbers in the model's order: out of range, malformed and repeated entries are skipped, the missing ones follow in order."""
+def ranking_of(text: str | None, n: int) -> list[tuple[int, float]]:
+    """(number, score) of the candidates in the model's order: out of range, malformed and repeated entries are skipped, and the missing ones follow
+    in order with 0.0. The score never sorts."""
     rows = last_json(text)
-    order: dict[int, None] = {}
+    order: dict[int, float] = {}
     for row in rows if isinstance(rows, list) else []:
         try:
-            i = int(row["index"])
-            float(row["score"])
+            i, score = int(row["index"]), float(row["score"])
         except (TypeError, KeyError, ValueError, OverflowError):
             continue
         if 0 <= i < n:
-            order.setdefault(i)
-    return [*order, *(i for i in range(n) if i not in order)]
+            order.setdefault(i, score)
+    return [*order.items(), *((i, 0.0) for i in range(n) if i not in order)]
 
 
 @F.pandas_udf(T.StringType())
@@ -86,6 +86,6 @@ def json_flags(value: pd.Series) -> pd.Series:
     return value.map(lambda t: flags_of(_loaded(t)))
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def ranking(text: pd.Series, n: pd.Series) -> pd.Series:
-    return pd.Series([ranking_of(t, int(k)) for t, k in zip(text, n)])
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("index", T.IntegerType()), T.StructField("score", T.DoubleType())])))
+def scored_ranking(text: pd.Series, n: pd.Series) -> pd.Series:
+    return pd.Series([[{"index": i, "score": s} for i, s in ranking_of(t, int(k))] for t, k in zip(text, n)])

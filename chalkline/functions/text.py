@@ -8,8 +8,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from chalkline.config import CleanParams
-
 #: White space by Unicode, also the separators U+001C to U+001F; Java's and RE2's \s alone are ASCII.
 WS = r"[\s\p{Z}\x{0B}\x{1C}-\x{1F}\x{85}]"
 #: A token: a letter, then letters, digits, underscores and hyphens.
@@ -70,7 +68,12 @@ def stop_fraction(text: Column) -> Column:
     return F.when(F.size(found) > 0, stops / F.size(found)).otherwise(F.lit(0.0))
 
 
-def reference_like(text: Column, p: CleanParams = CleanParams()) -> Column:
+#: The share of stop words from which a text is prose; the marks of each kind, and of all kinds together, from which another text is
+#: a list of references; the share of words with digits above which it is a table.
+PROSE, DOIS, ET_ALS, MARKS, TABLE = 0.32, 3, 4, 6, 0.5
+
+
+def reference_like(text: Column) -> Column:
     """Whether a text is a reference list or a table rather than prose. Prose by its share of stop words is never one; then citation marks
     are counted, then words with digits. Null or empty text is kept (false)."""
     t = F.coalesce(text, F.lit(""))
@@ -80,9 +83,9 @@ def reference_like(text: Column, p: CleanParams = CleanParams()) -> Column:
     years = F.regexp_count(t, F.lit(rf"(?:19|20)[0-9][0-9][a-z]?{WS}*\)"))
     ws = words(t)
     numeric = F.size(F.filter(ws, lambda w: w.rlike(DIGIT)))
-    cited = (dois >= p.doi_max) | (etal >= p.etal_max) | (dois + etal + years >= p.cite_max)
-    table = F.when(F.size(ws) > 0, numeric / F.size(ws) > p.numeric_ratio).otherwise(F.lit(False))
-    return F.when(stop_fraction(t) >= p.prose_floor, F.lit(False)).when(cited, F.lit(True)).otherwise(table)
+    cited = (dois >= DOIS) | (etal >= ET_ALS) | (dois + etal + years >= MARKS)
+    table = F.when(F.size(ws) > 0, numeric / F.size(ws) > TABLE).otherwise(F.lit(False))
+    return F.when(stop_fraction(t) >= PROSE, F.lit(False)).when(cited, F.lit(True)).otherwise(table)
 
 
 #: Left-overs of conversion from LaTeX, in the order in which they are blanked.
@@ -157,3 +160,25 @@ def text_flag(value: Column) -> Column:
     """0, 1 or null from a judge's word."""
     v = F.lower(strip(value))
     return F.when(v.isin("1", "true", "yes", "relevant"), 1).when(v.isin("0", "false", "no", "irrelevant"), 0)
+
+
+#: From an HTML page to text, in order: what is no text, breaks, other tags, named signs; blanks come last.
+PAGE_STEPS = (
+    (r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>", " "),
+    (r"(?i)<(?:br|/p|/div|/li|/tr|/h[1-6]|/section|/article|/table|/ul|/ol)\b[^<>]*>", "\n"),
+    (r"</?[A-Za-z][^<>]*>", ""),
+    ("&nbsp;|&#160;", " "),
+    ("&lt;", "<"),
+    ("&gt;", ">"),
+    ("&quot;", '"'),
+    ("&amp;", "&"),
+    (r"[ \t]+", " "),
+    (r" ?\n[ \n]*", "\n"),
+)
+
+
+def page_text(page: Column) -> Column:
+    """Text of an HTML page, one line per block; null stays null, a page without tags keeps its words."""
+    for pattern, to in PAGE_STEPS:
+        page = F.regexp_replace(page, pattern, to)
+    return strip(page)

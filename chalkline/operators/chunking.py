@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chalkline.config import ChunkParams
 from chalkline.functions.text import noise_section, strip, words
 
+#: Words of a window, words it shares with the next one, and the fewest of a window that is not the first.
+SIZE, SHARED, FEWEST = 250, 40, 30
 SECTION_MARK = r"\\(?:sub)?section\*?\{([^}]*)\}"
 
 
@@ -31,22 +32,22 @@ def sections(papers: DataFrame, key: str, body: str) -> DataFrame:
     return each.select(key, "section_index", F.col("_s.title").alias("section"), strip(F.col("_s.text")).alias("text"))
 
 
-def windows(text: Column, p: ChunkParams = ChunkParams()) -> Column:
-    """Array of word arrays: windows of p.words words every p.step words. A window under p.min_words is left out unless it is the first."""
-    return F.transform(window_spans(F.size(words(text)), p), lambda s: F.slice(words(text), s["start"] + 1, s["n"]))
+def windows(text: Column, size: int = SIZE, shared: int = SHARED, fewest: int = FEWEST) -> Column:
+    """Array of word arrays: windows of `size` words, each with `shared` words of the one before. One under `fewest` is left out unless it is the first."""
+    return F.transform(window_spans(F.size(words(text)), size, shared, fewest), lambda s: F.slice(words(text), s["start"] + 1, s["n"]))
 
 
-def window_spans(n: Column, p: ChunkParams = ChunkParams()) -> Column:
+def window_spans(n: Column, size: int = SIZE, shared: int = SHARED, fewest: int = FEWEST) -> Column:
     """Starts and sizes of the windows over n words."""
-    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(p.step))).otherwise(F.array().cast("array<int>"))
-    spans = F.transform(starts, lambda s: F.struct(s.alias("start"), F.least(F.lit(p.words), n - s).alias("n")))
-    return F.filter(spans, lambda s: (s["start"] == 0) | (s["n"] >= p.min_words))
+    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(max(1, size - shared)))).otherwise(F.array().cast("array<int>"))
+    spans = F.transform(starts, lambda s: F.struct(s.alias("start"), F.least(F.lit(size), n - s).alias("n")))
+    return F.filter(spans, lambda s: (s["start"] == 0) | (s["n"] >= fewest))
 
 
-def chunks(sections_: DataFrame, paper: str = "arxiv_id", p: ChunkParams = ChunkParams()) -> DataFrame:
+def chunks(sections_: DataFrame, paper: str = "arxiv_id") -> DataFrame:
     """Chunks with their id `paper:section_index:chunk_index`, from rows with paper, section_index, section and text."""
     split = sections_.withColumn("_w", words(F.col("text")))
-    cut = split.select("*", F.posexplode_outer(window_spans(F.size("_w"), p)).alias("chunk_index", "_s")).filter(F.col("chunk_index").isNotNull())
+    cut = split.select("*", F.posexplode_outer(window_spans(F.size("_w"))).alias("chunk_index", "_s")).filter(F.col("chunk_index").isNotNull())
     return cut.select(
         F.concat_ws(":", paper, "section_index", "chunk_index").alias("chunk_id"),
         paper,

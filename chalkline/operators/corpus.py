@@ -2,14 +2,30 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from chalkline.config import CorpusParams
 from chalkline.functions.text import strip, words
 
 
+@dataclass(frozen=True)
+class Scope:
+    """Which papers belong to the corpus; the values are fixed."""
+
+    categories: tuple[str, ...] = ("physics.ao-ph", "physics.geo-ph")
+    not_led_by: tuple[str, ...] = ("astro-ph", "physics.space-ph")
+    naming: tuple[str, ...] = ("climate", "warming", "atmospher", "ocean", "carbon", "emission", "precipitation", "temperature", "sea level", "greenhouse", "aerosol", "monsoon", "cyclone", "reanalysis")
+    years: tuple[int, int] = (2015, 2026)
+
+
+#: Citations that a paper needs unless it is recent, the year from which it is (a parameter, so that a result does not depend on
+#: today's date), and the papers of a corpus.
+CITED, RECENT, PAPERS = 3, 2024, 3000
+
+
 def paper_date(stamp: Column) -> Column:
     """First ten characters of a date, timestamp or string; null gives ''."""
     return F.coalesce(F.substring(stamp.cast("string"), 1, 10), F.lit(""))
@@ -38,18 +54,18 @@ def snapshot_rows(raw: DataFrame) -> DataFrame:
     )
 
 
-def paper_match(p: CorpusParams = CorpusParams()) -> Column:
+def paper_match(scope: Scope = Scope()) -> Column:
     """In a wanted category, not led by an excluded one, within the years, and naming a keyword in title or abstract. Nulls never match a category."""
     text = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("abstract", F.lit(""))))
-    named = F.lit(not p.keywords)
-    for k in p.keywords:
+    named = F.lit(not scope.naming)
+    for k in scope.naming:
         named = named | text.contains(k)
     first = F.coalesce(F.get("categories", F.lit(0)), F.lit(""))
     excluded = F.lit(False)
-    for x in p.exclude_primary:
+    for x in scope.not_led_by:
         excluded = excluded | first.startswith(x)
-    inside = F.coalesce(F.arrays_overlap("categories", F.array(*map(F.lit, p.categories))), F.lit(False))
-    return inside & ~excluded & year_of(F.col("published")).between(p.year_from, p.year_to) & named
+    inside = F.coalesce(F.arrays_overlap("categories", F.array(*map(F.lit, scope.categories))), F.lit(False))
+    return inside & ~excluded & year_of(F.col("published")).between(*scope.years) & named
 
 
 def last_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -73,15 +89,15 @@ def enriched(candidates: DataFrame, cache: DataFrame) -> DataFrame:
     )
 
 
-def gate(p: CorpusParams = CorpusParams()) -> Column:
+def gate(cited: int = CITED, recent: int = RECENT) -> Column:
     """Cited often enough or recent; null citations count as 0."""
-    return F.lit(p.min_citations <= 0) | (F.coalesce("s2_citations", F.lit(0)) >= p.min_citations) | (year_of(F.col("published")) >= p.cutoff_year)
+    return F.lit(cited <= 0) | (F.coalesce("s2_citations", F.lit(0)) >= cited) | (year_of(F.col("published")) >= recent)
 
 
-def selection(rows: DataFrame, p: CorpusParams = CorpusParams()) -> DataFrame:
-    """The most cited gated papers, then the latest; ties by id. `sel_rank` counts from 1. A sort-limit keeps only target_size rows of each task."""
+def selection(rows: DataFrame, papers: int = PAPERS, cited: int = CITED, recent: int = RECENT) -> DataFrame:
+    """The most cited gated papers, then the latest; ties by id. `sel_rank` counts from 1. A sort-limit keeps only that many rows of each task."""
     order = [F.coalesce("s2_citations", F.lit(0)).desc(), F.coalesce("published", F.lit("")).desc(), F.col("arxiv_id")]
-    top = rows.filter(gate(p)).orderBy(*order).limit(p.target_size)
+    top = rows.filter(gate(cited, recent)).orderBy(*order).limit(papers)
     return top.withColumn("sel_rank", F.row_number().over(W.orderBy(*order)))
 
 

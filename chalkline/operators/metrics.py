@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Results that count for a score, and the pipelines compared.
+K, CONFIGS = 10, ("bm25", "hyde", "rerank", "rerank_nohyde")
+#: Bounds of the overlap bands; only the lower one is published.
+LOW, HIGH = 0.30, 0.60
 METRICS = ("recall_chunk", "recall_paper", "mrr_chunk", "mrr_paper")
 
 
@@ -47,7 +51,7 @@ def precision(bits: Column) -> Column:
     return F.when(F.size(bits) > 0, F.aggregate(bits, F.lit(0), lambda a, b: a + b) / F.size(bits))
 
 
-def band(overlap: Column, low: float, high: float) -> Column:
+def band(overlap: Column, low: float = LOW, high: float = HIGH) -> Column:
     return F.when(overlap < low, "low").when(overlap < high, "mid").when(overlap.isNotNull(), "high")
 
 

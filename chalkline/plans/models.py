@@ -1,6 +1,8 @@
-"""Model-backed steps behind an interface, with offline stand-ins.
+"""Model-backed steps behind an interface: expansion, ranking, answers, judgments, questions, and the evaluation of whole pipelines.
 
-The stand-ins are deterministic word heuristics. They keep pipelines and tests runnable without a model; their quality says nothing about a model's.
+A client completes a prompt. Replies go through a cache table whose key holds everything a reply depends on, so a run repeats no call of an earlier
+one. Every reply is written before it is used: a plan that reads replies twice calls the model once. The stand-ins are deterministic, so that
+pipelines run and can be checked without a model; their quality says nothing about a model's.
 """
 
 from __future__ import annotations
@@ -8,17 +10,31 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from chalkline.config import PromptParams
-from chalkline.functions.reply import flags_of, last_json, ranking
-from chalkline.functions.text import STOP_WORDS, cache_key
+from chalkline.functions.reply import flags_of, last_json, scored_ranking
+from chalkline.functions.text import cache_key, overlap, section_type, strip
+from chalkline.operators import dense, metrics, prompts, ranking
+from chalkline.plans import search
+from chalkline.sources import cache, files
 
+#: Fixed value: what an answer says where the passages do not hold one.
 REFUSAL = "the provided context does not answer this question."
+#: Fixed value: candidates that a model ranks.
+CANDIDATES = 50
+EXPAND = "You draft texts for a search index of earth science. Use the field's own terms and their common variants, in plain statements. The text is matched and never shown."
+RANK = "You sort excerpts for a search over earth-science papers by how well each one settles what is asked. Reply with the JSON list alone."
+ANSWER = f"You reply from numbered excerpts and nothing else, naming each one used by its number in brackets. Where they do not hold the reply, write only: {REFUSAL}"
+ASK = "You write test questions for a search over earth-science papers. Reply with one JSON object."
+SUPPORT = 'Rate from 0 to 1 how much of what the reply states is borne out by the excerpts; a reply that declines states nothing and gets 1. Form: {"score": 0.5}.'
+FIT = 'Rate from 0 to 1 how far the reply takes up what is asked, true or not. Form: {"score": 0.5}.'
+USE = 'Mark each excerpt, in order, with 1 if it helps to settle what is asked and 0 if not. Form: {"relevant": [1, 0]}.'
 
 
 class ModelClient(Protocol):
@@ -27,109 +43,193 @@ class ModelClient(Protocol):
     def complete(self, system: str, prompt: str) -> str: ...
 
 
-def _words(text: str) -> set[str]:
-    return {w for w in re.findall(r"[^\W\d_][\w\-]+", text.lower()) if w not in STOP_WORDS}
+# --- stand-ins -----------------------------------------------------------------------------------------------------------------------
+
+
+def _words(text: str) -> list[str]:
+    return re.findall("[A-Za-z]{3,}", text)
 
 
 class ExpandStub:
-    """A passage that repeats the question's content words."""
+    """The first three long words of what is asked."""
 
     name = "stub-expand"
 
     def complete(self, system: str, prompt: str) -> str:
-        return " ".join(sorted(_words(prompt.partition("Question:")[2].partition("\n")[0])))
+        return " ".join(_words(prompt.partition("\nAsked: ")[2])[:3])
 
 
-class RerankStub:
-    """Orders the numbered passages by shared words with the query."""
+class RankStub:
+    """Every other excerpt, from the last one back, with prose around it, a number twice and one that does not exist."""
 
-    name = "stub-rerank"
+    name = "stub-rank"
 
     def complete(self, system: str, prompt: str) -> str:
-        head, _, tail = prompt.partition("Passages:")
-        q = _words(head)
-        blocks = re.split(r"\n\n(?=\[\d+\] )|\n(?=\[0\] )", tail)
-        scored = [(len(q & _words(b)) / (len(q) or 1), int(m[1])) for b in blocks if (m := re.match(r"\[(\d+)\] ", b))]
-        return json.dumps([{"index": i, "score": round(s, 6)} for s, i in sorted(scored, key=lambda x: (-x[0], x[1]))])
+        n = int(re.match(r"Order (\d+) ", prompt)[1])
+        rows = [{"index": i, "score": round((i + 1) / n, 6)} for i in range(n - 1, -1, -2)]
+        return f"As in [1]: {json.dumps([*rows, *rows[:1], {'index': n, 'score': 1.0}])}."
 
 
 class AnswerStub:
-    """The first passage's first sentence with its number, or the refusal."""
+    """The first excerpt's title with its number, or the refusal if it has none."""
 
     name = "stub-answer"
 
     def complete(self, system: str, prompt: str) -> str:
-        m = re.search(r"\[0\] [^\n]*\n([^.]*\.)", prompt)
-        return f"{m[1].strip()} [0]" if m else REFUSAL
+        m = re.match(r"Excerpts:\n\[0\] ([^\n]+)\n", prompt)
+        return f"{m[1]} [0]" if m else REFUSAL
 
 
 class JudgeStub:
-    """Scores an answer by the share of its words that the rest of the prompt has."""
+    """Scores by lengths: of the reply, of what is asked; marks every third excerpt; every fifth text gets an unreadable verdict."""
 
     name = "stub-judge"
 
     def complete(self, system: str, prompt: str) -> str:
-        head, _, ans = prompt.partition("Answer:")
-        a = _words(ans)
-        return json.dumps({"score": round(len(a & _words(head)) / len(a), 6) if a else 1.0})
+        if system == USE:
+            asked = prompt[len("Asked: ") :].partition("\n\nExcerpts:\n")[0]
+            return json.dumps({"relevant": [1, "no", {"label": "yes"}, "perhaps"]}) if len(asked) % 5 else "no idea"
+        reply = prompt.rpartition("\n\nReply to check:\n")[2]
+        if system == SUPPORT:
+            return f'Well, {{"score": "{len(reply) % 13 / 10}"}}'
+        asked = prompt[len("Asked: ") :].rpartition("\n\nReply to check:\n")[0]
+        return json.dumps({"score": len(asked) % 11 / 10}) if len(asked) % 5 else '{"score": '
+
+
+class AskStub:
+    """A question of the excerpt's first long word with its second one as the answer."""
+
+    name = "stub-ask"
+
+    def complete(self, system: str, prompt: str) -> str:
+        w = _words(prompt.partition("\nExcerpt:\n")[2])
+        return f'Here: {{"question": " What is {w[0] if w else ""}? ", "answer": "{w[1] if len(w) > 1 else " "}"}}'
+
+
+# --- calls ---------------------------------------------------------------------------------------------------------------------------
 
 
-def completed(prompts: DataFrame, client: ModelClient, system: str) -> DataFrame:
+def completed(asked: DataFrame, client: ModelClient, system: str) -> DataFrame:
     """key, value (reply as JSON string) for each row with key and prompt; one call per distinct key, in the tasks."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"key": b["key"], "value": [json.dumps(client.complete(system, p)) for p in b["prompt"]]})
 
-    return prompts.select("key", "prompt").dropDuplicates(["key"]).mapInPandas(run, "key string, value string")
+    return asked.select("key", "prompt").dropDuplicates(["key"]).mapInPandas(run, "key string, value string")
 
 
-def keyed(prompts: DataFrame, client_name: str, system: str, **settings) -> DataFrame:
-    """Adds the cache key: everything that the reply depends on is part of it."""
-    return prompts.withColumn("key", cache_key(client_name, json.dumps(settings, sort_keys=True), system, F.col("prompt")))
+def ask(asked: DataFrame, client: ModelClient, system: str, path: str | None = None, **settings) -> DataFrame:
+    """Rows with prompt, plus `reply`; an older reply column is replaced, a null prompt has a null reply. With a path, replies come from the cache
+    table there and new ones are added; without one they are written to the shared folder for this run alone. An empty reply is not cached."""
+    spark = asked.sparkSession
+    rows = asked.drop("reply").withColumn("key", F.when(F.col("prompt").isNotNull(), cache_key(client.name, json.dumps(settings, sort_keys=True), system, F.col("prompt"))))
+    calls = rows.filter(F.col("key").isNotNull()).select("key", "prompt").distinct()
+    if path is None:
+        files.shared_folder(spark)
+        known = completed(calls, client, system).checkpoint()
+    else:
+        known = cache.read_through(calls, path, lambda new: completed(new, client, system)).select("key", "value")
+    replies = known.select("key", F.get_json_object(F.concat(F.lit('{"v":'), "value", F.lit("}")), "$.v").alias("reply"))
+    return rows.join(replies, "key", "left").drop("key", "prompt")
 
 
-def ask(prompts: DataFrame, client: ModelClient, system: str, **settings) -> DataFrame:
-    """Rows with prompt, plus `reply`; an older reply is replaced."""
-    rows = keyed(prompts.drop("reply"), client.name, system, **settings)
-    replies = completed(rows, client, system).select("key", F.get_json_object(F.concat(F.lit('{"v":'), "value", F.lit("}")), "$.v").alias("reply"))
-    return rows.join(replies, "key").drop("key")
+def expanded(questions: DataFrame, client: ModelClient, echo: bool = True, path: str | None = None, words: int = prompts.EXPANSION_WORDS) -> DataFrame:
+    """question_id and `query`: the model's text, after the question if echo."""
+    out = ask(questions.select("question_id", "question", prompts.expansion(F.col("question"), words).alias("prompt")), client, EXPAND, path, words=words)
+    return out.select("question_id", (F.concat_ws(" ", "question", "reply") if echo else F.col("reply")).alias("query"))
 
 
-def expanded(questions: DataFrame, client: ModelClient, echo: bool = True, p: PromptParams = PromptParams()) -> DataFrame:
-    """question_id and `query`: the passage of the model, after the question if echo."""
-    prompt = F.concat(F.lit("Question: "), "question", F.lit(f"\n\nWrite the passage in about {p.hyde_words} words."))
-    out = ask(questions.withColumn("prompt", prompt), client, "Write one dense factual paragraph that would answer the question.", words=p.hyde_words)
-    return out.select("question_id", (F.concat_ws(" ", "question", "reply") if echo else F.col("reply")).alias("query"))
+def reranked(pool: DataFrame, questions: DataFrame, client: ModelClient, top: int | None = None, path: str | None = None) -> DataFrame:
+    """The pool in the model's order with `rerank_score` and a new rank. pool: question_id, rank, title, text and more. What the model left out
+    follows in the pool's order with 0.0; a repeated number counts once, a number outside the pool and an unreadable reply count as nothing."""
+    n = pool.groupBy("question_id").agg(F.count("*").alias("n"))
+    lists = prompts.listing(pool, prompts.RANK_CHARS, "question_id").join(n, "question_id").join(questions.select("question_id", "question"), "question_id")
+    out = ask(lists.withColumn("prompt", prompts.ranking(F.col("question"), F.col("listing"), F.col("n"))), client, RANK, path, chars=prompts.RANK_CHARS)
+    order = out.select("question_id", F.posexplode(scored_ranking(F.col("reply"), F.col("n"))).alias("model_pos", "_r"))
+    order = order.select("question_id", "model_pos", F.col("_r.index").alias("local_idx"), F.col("_r.score").alias("rerank_score"))
+    rows = pool.withColumn("local_idx", F.col("rank") - 1).drop("rank")
+    return ranking.rerank_fill(rows, order, "question_id", top)
+
+
+@dataclass(frozen=True)
+class Clients:
+    expand: ModelClient
+    rank: ModelClient
+    answer: ModelClient
+    judge: ModelClient
+
+    def __post_init__(self) -> None:
+        if self.judge.name == self.answer.name:
+            raise ValueError("the judge must be another model than the generator")
+
+
+STUBS = Clients(ExpandStub(), RankStub(), AnswerStub(), JudgeStub())
+
+
+def rerank(questions: DataFrame, chunks: DataFrame, clients: Clients, expand: bool = True, top: int | None = search.TOP, candidates: int = CANDIDATES, index=None, path: str | None = None) -> DataFrame:
+    """Full chunk rows in the model's order with rerank_score: pool by BM25 for the expanded question (or the plain one), then the ranking.
+    This is also the context of an answer: no diversity cap."""
+    asked = questions.select("question_id", "question")
+    queries = expanded(asked, clients.expand, path=path and f"{path}/expand") if expand else asked.withColumnRenamed("question", "query")
+    found = search.pool(chunks, queries, candidates, "question_id", index)
+    pool = search.with_provenance(found, chunks, "question_id").drop("score")
+    return reranked(pool, asked, clients.rank, top, path and f"{path}/rank").drop("local_idx")
+
+
+def answered(context: DataFrame, questions: DataFrame, client: ModelClient, path: str | None = None) -> DataFrame:
+    """question_id, question, answer from the passages of a context; a question without one is answered from nothing."""
+    rows = questions.select("question_id", "question").join(prompts.listing(context, prompts.READ_CHARS, "question_id"), "question_id", "left")
+    out = ask(rows.withColumn("prompt", prompts.answering(F.col("question"), F.coalesce("listing", F.lit("")))), client, ANSWER, path, chars=prompts.READ_CHARS)
+    return out.select("question_id", "question", strip(F.col("reply")).alias("answer"))
+
+
+@F.pandas_udf(T.DoubleType())
+def score_in(reply: pd.Series) -> pd.Series:
+    """The score of a judge's reply within [0, 1]; what is no number counts as 0, null if there is no score to read."""
+
+    def one(text):
+        v = last_json(text)
+        if not isinstance(v, dict) or "score" not in v:
+            return None
+        try:
+            x = float(v["score"])
+        except (TypeError, ValueError):
+            return 0.0
+        return min(1.0, max(0.0, x)) if x == x else 0.0
 
+    return reply.map(one).astype("float64")
 
-def reranked_order(prompts: DataFrame, client: ModelClient) -> DataFrame:
-    """question_id, local_idx, model_pos from prompts with question_id, prompt and n candidates. An unreadable reply leaves the pool's order."""
-    out = ask(prompts, client, "Rank passages by how directly they answer the query.").withColumn("_o", ranking(F.col("reply"), F.col("n")))
-    return out.select("question_id", F.posexplode("_o").alias("model_pos", "local_idx"))
 
+@F.pandas_udf(T.DoubleType())
+def share_in(reply: pd.Series) -> pd.Series:
+    """The share of ones among the readable marks of a judge's reply; null if there are none."""
+    bits = reply.map(lambda t: flags_of(last_json(t)))
+    return bits.map(lambda b: sum(b) / len(b) if b else None).astype("float64")
 
-def judged(prompts: DataFrame, client: ModelClient, system: str, generator: str) -> DataFrame:
-    """question_id and `value`: the score of a reply, or the mean of its flags; null if unreadable. The judge must not be the generator."""
-    if client.name == generator:
-        raise ValueError("the judge must be another model than the generator")
 
-    @F.pandas_udf("double")
-    def value(reply: pd.Series) -> pd.Series:
-        def one(t):
-            v = last_json(t)
-            if isinstance(v, dict) and "score" in v:
-                try:
-                    s = float(v["score"])
-                    return min(1.0, max(0.0, s)) if s == s else 0.0
-                except (TypeError, ValueError):
-                    return 0.0
-            bits = flags_of(v)
-            return sum(bits) / len(bits) if bits else None
+def judged(answers: DataFrame, context: DataFrame, client: ModelClient, path: str | None = None) -> DataFrame:
+    """question_id, faithfulness, answer_relevance, context_precision: three verdicts on each answer, null where a verdict cannot be read. The
+    judge sees the passages without titles."""
+    rows = answers.join(prompts.listing(context, prompts.READ_CHARS, "question_id", with_title=False), "question_id", "left").withColumn("listing", F.coalesce("listing", F.lit("")))
+    out = rows.select("question_id")
+    for name, system, prompt, read in (
+        ("faithfulness", SUPPORT, prompts.support(F.col("listing"), F.col("answer")), score_in),
+        ("answer_relevance", FIT, prompts.fit(F.col("question"), F.col("answer")), score_in),
+        ("context_precision", USE, prompts.use(F.col("question"), F.col("listing")), share_in),
+    ):
+        got = ask(rows.select("question_id", prompt.alias("prompt")), client, system, path, chars=prompts.READ_CHARS)
+        out = out.join(got.select("question_id", read("reply").alias(name)), "question_id")
+    return out
 
-        return reply.map(one).astype("float64")
 
-    return ask(prompts, client, system).select("question_id", value("reply").alias("value"))
+def cell(questions: DataFrame, chunks: DataFrame, clients: Clients, index=None, path: str | None = None) -> DataFrame:
+    """Context, answer and three verdicts for each question."""
+    context = rerank(questions, chunks, clients, index=index, path=path)
+    files.shared_folder(chunks.sparkSession)
+    context = context.checkpoint()  # read by the answer and by two judges
+    answers = answered(context, questions, clients.answer, path and f"{path}/answer")
+    return judged(answers, context, clients.judge, path and f"{path}/judge")
 
 
 def parsed_question(text: str | None) -> dict | None:
@@ -140,3 +240,51 @@ def parsed_question(text: str | None) -> dict | None:
     return {"question": v["question"].strip(), "answer": v["answer"].strip()}
 
 
+@F.pandas_udf(T.StructType([T.StructField("question", T.StringType()), T.StructField("answer", T.StringType())]))
+def question_in(reply: pd.Series) -> pd.DataFrame:
+    rows = [parsed_question(t) or {} for t in reply]
+    return pd.DataFrame({k: [r.get(k) for r in rows] for k in ("question", "answer")})
+
+
+def generated(chunks: DataFrame, client: ModelClient, done: DataFrame | None = None, path: str | None = None) -> DataFrame:
+    """Question rows for chunks (chunk_id, arxiv_id, title, section, text): question, reference answer, type of the section and the share of the
+    question's tokens that the chunk has. Chunks of `done` (source_chunk_id) are not asked again; unreadable replies give no row."""
+    todo = chunks if done is None else chunks.join(done.select(F.col("source_chunk_id").alias("chunk_id")), "chunk_id", "left_anti")
+    out = ask(todo.withColumn("prompt", prompts.asking(F.col("title"), F.col("text"))), client, ASK, path, chars=prompts.READ_CHARS).withColumn("_q", question_in("reply")).filter("_q.question IS NOT NULL")
+    return out.select(
+        F.col("chunk_id").alias("question_id"), F.col("_q.question").alias("question"), F.col("_q.answer").alias("reference_answer"), F.col("chunk_id").alias("source_chunk_id"), "arxiv_id", "section",
+        section_type(F.col("section")).alias("section_type"), F.round(overlap(F.col("_q.question"), F.col("text")), 3).alias("overlap"),
+    )
+
+
+# --- evaluation of whole pipelines ---------------------------------------------------------------------------------------------------
+
+
+def arm_ranks(arm: str, questions: DataFrame, chunks: DataFrame, clients: Clients, n: int, index=None, vectors: DataFrame | None = None, candidates: int = CANDIDATES, path: str | None = None) -> DataFrame:
+    """question_id, rank, chunk_ord of one pipeline for all questions: bm25, hyde, rerank, rerank_nohyde; dense and dense_rerank take the
+    question's vector (`embedding`) against vectors of chunks (chunk_ord, embedding)."""
+    asked = questions.select("question_id", "question")
+    if arm in ("rerank", "rerank_nohyde"):
+        return rerank(questions, chunks, clients, arm == "rerank", None, candidates, index, path).select("question_id", "rank", "chunk_ord")
+    if arm in ("bm25", "hyde"):
+        queries = asked.withColumnRenamed("question", "query") if arm == "bm25" else expanded(asked, clients.expand, path=path and f"{path}/expand")
+        return search.pool(chunks, queries, n, "question_id", index).select("question_id", "rank", "chunk_ord")
+    if arm not in ("dense", "dense_rerank") or vectors is None:
+        raise ValueError(f"no such pipeline: {arm}")
+    own = questions.select("question_id", F.xxhash64("question_id").alias("chunk_ord"), "embedding")
+    found = dense.top_dense(vectors, own, n if arm == "dense" else candidates, "chunk_ord").join(own.select(F.col("chunk_ord").alias("query_id"), "question_id"), "query_id").drop("query_id")
+    if arm == "dense":
+        return found.select("question_id", "rank", "chunk_ord")
+    pool = search.with_provenance(found, chunks, "question_id").drop("score")
+    return reranked(pool, asked, clients.rank, None, path and f"{path}/rank").select("question_id", "rank", "chunk_ord")
+
+
+def arm_scores(arms: tuple[str, ...], questions: DataFrame, chunks: DataFrame, clients: Clients, k: int, **more) -> DataFrame:
+    """question_id, config and the four retrieval metrics, one row per question and pipeline. questions: question_id, question,
+    source_chunk_id, gold_paper."""
+    ids = chunks.select("chunk_ord", "chunk_id", "arxiv_id")
+    out = None
+    for arm in arms:
+        got = metrics.question_scores(arm_ranks(arm, questions, chunks, clients, k, **more).filter(F.col("rank") <= k).join(ids, "chunk_ord"), questions, k).withColumn("config", F.lit(arm))
+        out = got if out is None else out.unionByName(got)
+    return out

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chalkline.config import SearchParams
 from chalkline.operators import bm25, ranking
+from chalkline.sources import files
 
+#: Chunks that a search ranks, chunks of a paper that it keeps, and rows that it returns.
+POOL, PER_PAPER, TOP = 100, 2, 10
 RESULT = ("chunk_id", "arxiv_id", "title", "section", "source", "abs_url", "text")
 
 
@@ -18,10 +20,10 @@ def pool(chunks: DataFrame, queries: DataFrame, n: int, query_key: str = "query_
     return bm25.fill_zero(ranked, queries, index, n, query_key)
 
 
-def search(chunks: DataFrame, queries: DataFrame, p: SearchParams = SearchParams(), query_key: str = "query_id") -> DataFrame:
+def search(chunks: DataFrame, queries: DataFrame, n: int = POOL, per_paper: int = PER_PAPER, top: int = TOP, query_key: str = "query_id", index: bm25.Index | None = None) -> DataFrame:
     papers = chunks.select("chunk_ord", "arxiv_id")
-    got = pool(chunks, queries, p.pool, query_key).join(papers, "chunk_ord")
-    kept = ranking.diversify(got, "arxiv_id", p.per_paper, p.top_k, query_key).drop("arxiv_id")
+    got = pool(chunks, queries, n, query_key, index).join(papers, "chunk_ord")
+    kept = ranking.diversify(got, "arxiv_id", per_paper, top, query_key).drop("arxiv_id")
     return with_provenance(kept, chunks, query_key)
 
 
@@ -30,19 +32,43 @@ def with_provenance(ranked: DataFrame, chunks: DataFrame, query_key: str = "quer
     return ranked.join(chunks.select("chunk_ord", *RESULT), "chunk_ord").select(query_key, "rank", F.round("score", 6).alias("score"), "chunk_ord", *RESULT)
 
 
+def alignment(index: bm25.Index, chunks: DataFrame) -> DataFrame:
+    """One row: n_docs of the index, and how many chunk_ord values only the index or only the chunks have."""
+    sides = index.lengths.select("chunk_ord", F.lit(1).alias("_i")).unionByName(chunks.select("chunk_ord", F.lit(2).alias("_i"))).groupBy("chunk_ord").agg(F.sum("_i").alias("_i"), F.count_if(F.col("_i") == 1).alias("_n"))
+    return sides.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n_docs"), F.count_if(F.col("_i") == 1).alias("only_index"), F.count_if(F.col("_i") == 2).alias("only_chunks"))
+
+
 def check_alignment(index: bm25.Index, chunks: DataFrame) -> None:
     """Raises if index and chunks do not hold the same chunk_ord values."""
-    a, b = index.lengths.select("chunk_ord"), chunks.select("chunk_ord")
-    odd = a.join(b, "chunk_ord", "left_anti").count() + b.join(a, "chunk_ord", "left_anti").count()
-    if odd:
-        raise ValueError(f"{odd} rows are in only one of index and chunks; rebuild the index")
+    odd = alignment(index, chunks).first()
+    if odd["only_index"] + odd["only_chunks"]:
+        raise ValueError(f"{odd['only_index']} and {odd['only_chunks']} rows are in only one of index and chunks; rebuild the index")
 
 
 def save_index(index: bm25.Index, path: str) -> None:
+    """Postings in token order, so that a batch's tokens are found by the ranges in the files' footers. Frequencies and weights come from the
+    postings just written, so that the texts are read once for these and once for the lengths."""
+    spark = index.postings.sparkSession
     index.postings.repartitionByRange("token").sortWithinPartitions("token").write.mode("overwrite").parquet(f"{path}/postings")
-    for name in ("lengths", "vocabulary", "stats"):
-        getattr(index, name).write.mode("overwrite").parquet(f"{path}/{name}")
+    index.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+    postings, lengths = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths")
+    words, _ = bm25.weighed(postings.groupBy("token").agg(F.count("*").alias("df")), lengths)
+    words.write.mode("overwrite").parquet(f"{path}/vocabulary")
+    stats = lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+    stats.withColumn("avg_idf", spark.read.parquet(f"{path}/vocabulary").agg(F.avg("w")).scalar()).write.mode("overwrite").parquet(f"{path}/stats")
 
 
 def load_index(spark, path: str) -> bm25.Index:
-    return bm25.Index(*(spark.read.parquet(f"{path}/{n}") for n in ("postings", "lengths", "vocabulary", "stats")))
+    postings, lengths, words, stats = (spark.read.parquet(f"{path}/{n}") for n in ("postings", "lengths", "vocabulary", "stats"))
+    return bm25.Index(postings, lengths, bm25.with_floor(words, stats), stats)
+
+
+def kept_index(spark, source: str, chunks: DataFrame | None = None, refresh: bool = False) -> bm25.Index:
+    """The index of a chunk table, from the shared folder; built by the first search and again when the table's files have changed. Its mark is
+    written last, so an index of which a run was cut off is built anew."""
+    chunks = spark.read.parquet(source) if chunks is None else chunks
+    path = f"{files.shared_folder(spark).rstrip('/')}/bm25-{files.fingerprint(spark, source, *map(str, bm25.Weights().__dict__.values()))}"
+    if refresh or files.read_text(spark, f"{path}/_mark") != "done":
+        save_index(bm25.build(chunks), path)
+        files.write_text(spark, f"{path}/_mark", "done")
+    return load_index(spark, path)

@@ -6,16 +6,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from chalkline.config import Bm25Params, ChunkParams, CleanParams, CorpusParams, EvalParams, PromptParams, SearchParams
 from chalkline.functions import reply, text
 from chalkline.operators import bm25, chunking, corpus, dense, metrics, prompts, ranking, sampling
 from chalkline.plans import models, search
 from chalkline.queries.registry import Registry
-from chalkline.sources import cache, fetch
+from chalkline.sources import cache, fetch, files, tables
 from chalkline.streaming import ingest
 
 R = Registry()
-C, CH, CL, B, S, E, P = CorpusParams(), ChunkParams(), CleanParams(), Bm25Params(), SearchParams(), EvalParams(), PromptParams()
+C, B = corpus.Scope(), bm25.Weights()
 
 
 # --- pieces of SQL -------------------------------------------------------------------------------------------------------------------
@@ -52,8 +51,8 @@ def sql_reference_like(x: str) -> str:
     doi, etal, years = n(f"lower({t})", "doi"), n(f"lower({t})", "et al"), n(t, rf"(?:19|20)[0-9][0-9][a-z]?{WS}*\)")
     words = sql_words(x)
     return (
-        f"(CASE WHEN {sql_stop_fraction(x)} >= {CL.prose_floor} THEN false WHEN {doi} >= {CL.doi_max} OR {etal} >= {CL.etal_max} OR {doi} + {etal} + {years} >= {CL.cite_max} THEN true "
-        f"WHEN len({words}) > 0 THEN len(list_filter({words}, lambda w: regexp_matches(w, '{text.DIGIT}')))::DOUBLE / len({words}) > {CL.numeric_ratio} ELSE false END)"
+        f"(CASE WHEN {sql_stop_fraction(x)} >= {text.PROSE} THEN false WHEN {doi} >= {text.DOIS} OR {etal} >= {text.ET_ALS} OR {doi} + {etal} + {years} >= {text.MARKS} THEN true "
+        f"WHEN len({words}) > 0 THEN len(list_filter({words}, lambda w: regexp_matches(w, '{text.DIGIT}')))::DOUBLE / len({words}) > {text.TABLE} ELSE false END)"
     )
 
 
@@ -79,7 +78,7 @@ STUB_TAIL = " <cit.> , x ==== y § . § z <g r a p h i c s> ."
 LATEST = "latest AS (SELECT * FROM enrichment QUALIFY row_number() OVER (PARTITION BY arxiv_id ORDER BY cached_at DESC NULLS LAST) = 1)"
 PAPERS = "papers AS (SELECT * FROM candidates QUALIFY row_number() OVER (PARTITION BY arxiv_id ORDER BY coalesce(published, '') DESC) = 1)"
 ENRICHED = f"{LATEST}, {PAPERS}, enriched AS (SELECT p.*, coalesce(s2_found, false) AS s2_found, coalesce(s2_citations, 0) AS s2_citations, s2_tldr FROM papers p LEFT JOIN latest USING (arxiv_id))"
-GATE = f"(s2_citations >= {C.min_citations} OR {sql_year('published')} >= {C.cutoff_year})"
+GATE = f"(s2_citations >= {corpus.CITED} OR {sql_year('published')} >= {corpus.RECENT})"
 
 
 # --- sources -------------------------------------------------------------------------------------------------------------------------
@@ -90,6 +89,15 @@ def src01_scan_project(t):
     return t("chunks_norm").select("chunk_id", "title", "text")
 
 
+@R.add("SELECT chunk_id, title, text FROM chunks_norm")
+def src01_src02_json_lines(t):
+    """Written as JSON lines once, then scanned with a schema of three of the fields."""
+    path = f"{files.shared_folder(t.spark)}/lines-{files.fingerprint(t.spark, t.path('chunks_norm'))}"
+    if not tables.built(t.spark, path):
+        tables.write_jsonl(t("chunks_norm"), path)
+    return tables.read_jsonl(t.spark, path, "chunk_id string, title string, text string")
+
+
 @R.add("SELECT arxiv_id, published FROM candidates WHERE primary_category = 'physics.ao-ph' AND published >= '2020'")
 def src03_scan_filter(t):
     rows = t("candidates").filter((F.col("primary_category") == "physics.ao-ph") & (F.col("published") >= "2020"))
@@ -111,6 +119,23 @@ def src09_source_fallback(t):
     return t("chunks_norm").select("chunk_ord", kind.alias("kind"), F.get(secs, F.lit(0)).alias("body"))
 
 
+@R.add("SELECT count(*) AS n_docs, 0::BIGINT AS only_index, 0::BIGINT AS only_chunks FROM chunks_norm")
+def src10_index_alignment(t):
+    """Rows that only the stored index or only the chunk table has."""
+    return search.alignment(_index(t), t("chunks_norm"))
+
+
+@R.add("SELECT vec_id, vec_id // 128 AS block_id, round(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]), 4) AS length2 FROM embeddings")
+def src11_src12_set05_vector_store(t):
+    """A store of vectors in blocks: two blocks first, as if a run had been cut off, then the rest; read back as one table."""
+    path = f"{files.shared_folder(t.spark)}/vectors-{files.fingerprint(t.spark, t.path('embeddings'))}"
+    rows = t("embeddings").select("vec_id", "embedding")
+    dense.store(rows.filter("vec_id < 256"), path, block=128)
+    dense.store(rows, path, block=128)
+    square = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    return dense.with_blocks(dense.stored(t.spark, path), block=128).select("vec_id", "block_id", F.round(square, 4).alias("length2"))
+
+
 @R.add("SELECT vec_id // 128 AS block_id, count(*) AS n, min(vec_id) AS first_id FROM embeddings GROUP BY 1")
 def src12_block_store(t):
     rows = dense.with_blocks(t("embeddings"), block=128)
@@ -122,17 +147,17 @@ def src12_block_store(t):
 )
 def src13_keep_drop_split(t):
     """Also AGG07: both sides of the split are counted in one pass."""
-    rows = t("chunks_norm").select(text.reference_like(F.col("text"), CL).alias("r"))
+    rows = t("chunks_norm").select(text.reference_like(F.col("text")).alias("r"))
     n = rows.agg(F.count_if(~F.col("r")).alias("kept"), F.count_if("r").alias("dropped"))
     return n.withColumn("pct", F.round(100.0 * F.col("dropped") / F.greatest(F.col("kept") + F.col("dropped"), F.lit(1)), 1))
 
 
 @R.add(
-    f"WITH {ENRICHED} SELECT (SELECT count(*) FROM candidates) AS candidates, count(*) AS enriched, count(*) FILTER (s2_found) AS scholar_found, least(count(*) FILTER ({GATE}), {C.target_size}) AS selected FROM enriched"
+    f"WITH {ENRICHED} SELECT (SELECT count(*) FROM candidates) AS candidates, count(*) AS enriched, count(*) FILTER (s2_found) AS scholar_found, least(count(*) FILTER ({GATE}), {corpus.PAPERS}) AS selected FROM enriched"
 )
 def src14_manifest_counts(t):
     rows = corpus.enriched(t("candidates"), t("enrichment"))
-    return corpus.corpus_counts(t("candidates"), rows, corpus.selection(rows, C))
+    return corpus.corpus_counts(t("candidates"), rows, corpus.selection(rows))
 
 
 # --- projections ---------------------------------------------------------------------------------------------------------------------
@@ -233,9 +258,9 @@ pool AS (SELECT query_id, chunk_ord, coalesce(score, 0.0) AS score, row_number()
   FROM (SELECT query_id, chunk_ord FROM (SELECT DISTINCT query_id FROM queries), lengths) LEFT JOIN scored USING (query_id, chunk_ord) QUALIFY rank <= {n})"""
 
 
-SEARCH = f"""{bm25_pool(S.pool)},
-capped AS (SELECT p.*, c.arxiv_id FROM pool p JOIN chunks_norm c USING (chunk_ord) QUALIFY row_number() OVER (PARTITION BY query_id, c.arxiv_id ORDER BY rank) <= {S.per_paper}),
-best AS (SELECT query_id, chunk_ord, score, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM capped QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= {S.top_k}),
+SEARCH = f"""{bm25_pool(search.POOL)},
+capped AS (SELECT p.*, c.arxiv_id FROM pool p JOIN chunks_norm c USING (chunk_ord) QUALIFY row_number() OVER (PARTITION BY query_id, c.arxiv_id ORDER BY rank) <= {search.PER_PAPER}),
+best AS (SELECT query_id, chunk_ord, score, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM capped QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= {search.TOP}),
 found AS (SELECT query_id, rank, round(score, 6) AS score, c.chunk_ord, chunk_id, arxiv_id, title, section, source, abs_url, text FROM best JOIN chunks_norm c USING (chunk_ord))"""
 
 
@@ -243,20 +268,29 @@ def _queries(t):
     return t("documents").filter(F.col("doc_id") % 100 == 0).select(F.col("doc_id").alias("query_id"), F.col("title").alias("query"))
 
 
+def _index(t):
+    """The stored index of the chunks; the first search builds it, all others read it."""
+    return search.kept_index(t.spark, t.path("chunks_norm"))
+
+
 def _search(t):
-    return search.search(t("chunks_norm"), _queries(t), S)
+    return search.search(t("chunks_norm"), _queries(t), index=_index(t))
 
 
 @R.add(
-    f"WITH {SEARCH} SELECT query_id, string_agg('[' || (rank - 1) || '] ' || coalesce(title, '') || chr(10) || substr(coalesce(text, ''), 1, {P.rerank_chars}), chr(10) || chr(10) ORDER BY rank) AS listing FROM found GROUP BY 1"
+    f"WITH {SEARCH} SELECT query_id, string_agg('[' || (rank - 1) || '] ' || coalesce(title, '') || chr(10) || substr(coalesce(text, ''), 1, {prompts.RANK_CHARS}), chr(10) || chr(10) ORDER BY rank) AS listing FROM found GROUP BY 1"
 )
 def prj13_prompt_listing(t):
-    return prompts.listing(_search(t), P.rerank_chars)
+    return prompts.listing(_search(t), prompts.RANK_CHARS)
 
 
-@R.add(f"SELECT question_id, 'Question: ' || question || chr(10) || chr(10) || 'Write the passage in about {P.hyde_words} words.' AS prompt FROM questions")
+@R.add(
+    f"""SELECT question_id, created_at, 'Draft an abstract-like text of {prompts.EXPANSION_WORDS} words that settles this.' || chr(10) || 'Asked: ' || coalesce(question, '') AS expansion,
+    'Pose a question that this excerpt settles, in other words than its own, as {{"question": ..., "answer": ...}}.' || chr(10) || 'From: ' || coalesce(section, '') || chr(10) || 'Excerpt:' || chr(10) || substr(coalesce(question, ''), 1, 20) AS asking FROM questions"""
+)
 def prj14_prompts(t):
-    return t("questions").select("question_id", prompts.passage_prompt(F.col("question"), P.hyde_words).alias("prompt"))
+    rows = t("questions")
+    return rows.select("question_id", "created_at", prompts.expansion(F.col("question")).alias("expansion"), prompts.asking(F.col("section"), F.col("question"), 20).alias("asking"))
 
 
 @R.add(f"WITH {SEARCH} SELECT query_id, string_agg(coalesce(nullif(title, ''), arxiv_id) || ' ' || coalesce(nullif(abs_url, ''), arxiv_id), chr(10) ORDER BY rank) AS sources FROM found GROUP BY 1")
@@ -315,9 +349,9 @@ def prj21_json_block(t):
 
 MATCH = (
     f"coalesce(list_has_any(categories, [{', '.join(map(_str, C.categories))}]), false) AND NOT ("
-    + " OR ".join(f"starts_with(coalesce(categories[1], ''), '{x}')" for x in C.exclude_primary)
-    + f") AND {sql_year('published')} BETWEEN {C.year_from} AND {C.year_to} AND ("
-    + " OR ".join(f"contains(lower(coalesce(title, '') || ' ' || coalesce(abstract, '')), '{k}')" for k in C.keywords)
+    + " OR ".join(f"starts_with(coalesce(categories[1], ''), '{x}')" for x in C.not_led_by)
+    + f") AND {sql_year('published')} BETWEEN {C.years[0]} AND {C.years[1]} AND ("
+    + " OR ".join(f"contains(lower(coalesce(title, '') || ' ' || coalesce(abstract, '')), '{k}')" for k in C.naming)
     + ")"
 )
 
@@ -329,7 +363,7 @@ def flt01_paper_match(t):
 
 @R.add(f"WITH {ENRICHED} SELECT arxiv_id, s2_citations FROM enriched WHERE {GATE}")
 def flt02_gate(t):
-    return corpus.enriched(t("candidates"), t("enrichment")).filter(corpus.gate(C)).select("arxiv_id", "s2_citations")
+    return corpus.enriched(t("candidates"), t("enrichment")).filter(corpus.gate()).select("arxiv_id", "s2_citations")
 
 
 BIBLIOGRAPHY = " doi:10.1 doi:10.2 DOI 10.3"
@@ -338,7 +372,7 @@ BIBLIOGRAPHY = " doi:10.1 doi:10.2 DOI 10.3"
 @R.add(f"SELECT chunk_ord, {sql_reference_like('text')} AS dropped, {sql_reference_like('text || ' + _str(BIBLIOGRAPHY))} AS dropped_with_dois FROM chunks_norm")
 def flt03_reference_like(t):
     more = F.concat("text", F.lit(BIBLIOGRAPHY))
-    return t("chunks_norm").select("chunk_ord", text.reference_like(F.col("text"), CL).alias("dropped"), text.reference_like(more, CL).alias("dropped_with_dois"))
+    return t("chunks_norm").select("chunk_ord", text.reference_like(F.col("text")).alias("dropped"), text.reference_like(more).alias("dropped_with_dois"))
 
 
 @R.add(
@@ -349,11 +383,10 @@ def flt03_reference_like(t):
 )
 def flt06_guards(t):
     """A question set stands for a session, in order of question_id; 40 characters are allowed, so that every case occurs."""
-    p = PromptParams(max_query_chars=40)
     rows = t("questions").select("question_id", "question_set", "question").distinct()
     before = W.partitionBy("question_set").orderBy("question_id").rowsBetween(W.unboundedPreceding, -1)
-    fits = F.when(prompts.guard(F.col("question"), F.lit(0), p) == "ok", 1)
-    return rows.select("question_id", prompts.guard(F.col("question"), F.count(fits).over(before), p).alias("status"))
+    fits = F.when(prompts.guard(F.col("question"), F.lit(0), 40) == "ok", 1)
+    return rows.select("question_id", prompts.guard(F.col("question"), F.count(fits).over(before), 40).alias("status"))
 
 
 # --- sections and chunks -------------------------------------------------------------------------------------------------------------
@@ -377,9 +410,9 @@ def exp01_sections(t):
 
 def sql_chunks(rows: str) -> str:
     return f"""w AS (SELECT *, {sql_words("text")} AS ws FROM {rows}),
-o AS (SELECT *, unnest(range(0, len(ws), {CH.step})) AS st FROM w),
+o AS (SELECT *, unnest(range(0, len(ws), {chunking.SIZE - chunking.SHARED})) AS st FROM w),
 chunks AS (SELECT doc_id, section, section_index, (row_number() OVER (PARTITION BY doc_id, section_index ORDER BY st) - 1)::INT AS chunk_index,
-  array_to_string(ws[st + 1:st + {CH.words}], ' ') AS text, least({CH.words}, len(ws) - st)::INT AS n_words FROM o WHERE st = 0 OR len(ws) - st >= {CH.min_words})"""
+  array_to_string(ws[st + 1:st + {chunking.SIZE}], ' ') AS text, least({chunking.SIZE}, len(ws) - st)::INT AS n_words FROM o WHERE st = 0 OR len(ws) - st >= {chunking.FEWEST})"""
 
 
 @R.add(
@@ -387,7 +420,22 @@ chunks AS (SELECT doc_id, section, section_index, (row_number() OVER (PARTITION
 )
 def exp02_chunks(t):
     rows = t("documents").select("doc_id", F.lit("body").alias("section"), F.lit(0).alias("section_index"), "text")
-    return chunking.chunks(rows, "doc_id", CH).select("chunk_id", "n_words", F.md5("text").alias("text"))
+    return chunking.chunks(rows, "doc_id").select("chunk_id", "n_words", F.md5("text").alias("text"))
+
+
+PAGE = "'<script>var a = 1;</script><h1>A &amp; B</h1><p class=\"x\">' || text || '</p><!-- c --><ul><li>one</li><li>two&nbsp;&lt; 3</li></ul>'"
+
+
+def sql_page(x: str) -> str:
+    for pattern, to in text.PAGE_STEPS:
+        x = f"regexp_replace({x}, {_str(pattern)}, {_str(to) if to != chr(10) else 'chr(10)'}, 'g')"
+    return sql_strip(x)
+
+
+@R.add(f"SELECT doc_id, md5({sql_page(PAGE)}) AS text FROM documents")
+def exp03_page_text(t):
+    page = F.concat(F.lit('<script>var a = 1;</script><h1>A &amp; B</h1><p class="x">'), "text", F.lit("</p><!-- c --><ul><li>one</li><li>two&nbsp;&lt; 3</li></ul>"))
+    return t("documents").select("doc_id", F.md5(text.page_text(page)).alias("text"))
 
 
 # --- joins and aggregates ------------------------------------------------------------------------------------------------------------
@@ -404,24 +452,24 @@ def jon02_pending(t):
 
 
 @R.add(
-    f"WITH c AS (SELECT unnest([{', '.join(map(_str, E.configs))}]) AS config), r AS (SELECT DISTINCT question_id, config FROM tier1_results) "
+    f"WITH c AS (SELECT unnest([{', '.join(map(_str, metrics.CONFIGS))}]) AS config), r AS (SELECT DISTINCT question_id, config FROM tier1_results) "
     "SELECT q.question_id, c.config, r.config IS NOT NULL AS scored FROM (SELECT DISTINCT question_id FROM questions) q, c LEFT JOIN r ON r.question_id = q.question_id AND r.config = c.config"
 )
 def jon10_question_configs(t):
     """Every question with every configuration: the second side has four rows."""
-    asked = t("questions").select("question_id").distinct().withColumn("config", F.explode(F.array(*map(F.lit, E.configs))))
+    asked = t("questions").select("question_id").distinct().withColumn("config", F.explode(F.array(*map(F.lit, metrics.CONFIGS))))
     done = t("tier1_results").select("question_id", "config").distinct().withColumn("scored", F.lit(True))
     return asked.join(done, ["question_id", "config"], "left").withColumn("scored", F.coalesce("scored", F.lit(False)))
 
 
 @R.add(f"WITH {BM25} SELECT token, count(*) AS df, sum(tf)::BIGINT AS tf FROM postings GROUP BY 1")
 def agg01_postings(t):
-    return bm25.build(t("chunks_norm"), p=B).postings.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    return bm25.build(t("chunks_norm")).postings.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
 
 @R.add(f"WITH {BM25} SELECT token, df, round(idf, 9) AS idf FROM vocabulary")
 def agg02_idf(t):
-    return bm25.build(t("chunks_norm"), p=B).vocabulary.select("token", "df", F.round("idf", 9).alias("idf"))
+    return bm25.build(t("chunks_norm")).vocabulary.select("token", "df", F.round("idf", 9).alias("idf"))
 
 
 @R.add(
@@ -441,9 +489,9 @@ def agg05_kinds(t):
 # --- ranked retrieval ----------------------------------------------------------------------------------------------------------------
 
 
-@R.add(f"WITH {bm25_pool(S.top_k)} SELECT query_id, chunk_ord, score, rank::INT AS rank FROM pool")
+@R.add(f"WITH {bm25_pool(search.TOP)} SELECT query_id, chunk_ord, score, rank::INT AS rank FROM pool")
 def top02_bm25_topk(t):
-    return search.pool(t("chunks_norm"), _queries(t), S.top_k).select("query_id", "chunk_ord", "score", "rank")
+    return search.pool(t("chunks_norm"), _queries(t), search.TOP, index=_index(t)).select("query_id", "chunk_ord", "score", "rank")
 
 
 @R.add(f"WITH {SEARCH} SELECT query_id, rank::INT AS rank, score, chunk_ord, chunk_id, arxiv_id, title, section, source, abs_url, text FROM found")
@@ -452,10 +500,10 @@ def top03_search_diverse(t):
 
 
 @R.add(
-    f"WITH {ENRICHED} SELECT arxiv_id, s2_citations, row_number() OVER (ORDER BY s2_citations DESC, coalesce(published, '') DESC, arxiv_id)::INT AS sel_rank FROM enriched WHERE {GATE} QUALIFY sel_rank <= {C.target_size}"
+    f"WITH {ENRICHED} SELECT arxiv_id, s2_citations, row_number() OVER (ORDER BY s2_citations DESC, coalesce(published, '') DESC, arxiv_id)::INT AS sel_rank FROM enriched WHERE {GATE} QUALIFY sel_rank <= {corpus.PAPERS}"
 )
 def top04_selection(t):
-    return corpus.selection(corpus.enriched(t("candidates"), t("enrichment")), C).select("arxiv_id", "s2_citations", "sel_rank")
+    return corpus.selection(corpus.enriched(t("candidates"), t("enrichment"))).select("arxiv_id", "s2_citations", "sel_rank")
 
 
 @R.add(
@@ -464,17 +512,17 @@ def top04_selection(t):
 )
 def top05_dense_topk(t):
     v = t("embeddings")
-    return dense.top_dense(v, v.filter(F.col("vec_id") % 100 == 0), S.top_k)
+    return dense.top_dense(v, v.filter(F.col("vec_id") % 100 == 0), search.TOP)
 
 
 @R.add(
-    f"WITH {bm25_pool(S.top_k)}, l AS (SELECT query_id, chunk_ord, rank - 1 AS local_idx FROM pool), "
+    f"WITH {bm25_pool(search.TOP)}, l AS (SELECT query_id, chunk_ord, rank - 1 AS local_idx FROM pool), "
     "m AS (SELECT *, CASE WHEN local_idx % 2 = 0 THEN 100 - local_idx END AS pos FROM l) "
     "SELECT query_id, chunk_ord, CASE WHEN pos IS NULL THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY pos NULLS LAST, local_idx)::INT AS rank FROM m"
 )
 def top06_rerank_fill(t):
     """A model's order of the even places, from the back, with a repeat and a place outside the pool; the rest follows."""
-    rows = search.pool(t("chunks_norm"), _queries(t), S.top_k).withColumn("local_idx", F.col("rank") - 1).drop("rank", "score")
+    rows = search.pool(t("chunks_norm"), _queries(t), search.TOP, index=_index(t)).withColumn("local_idx", F.col("rank") - 1).drop("rank", "score")
     even = rows.filter(F.col("local_idx") % 2 == 0).select("query_id", "local_idx", (100 - F.col("local_idx")).alias("model_pos"), F.lit(0.5).alias("rerank_score"))
     odd = even.select("query_id", "local_idx", (F.col("model_pos") + 500).alias("model_pos"), F.lit(0.1).alias("rerank_score"))
     out = even.select("query_id", F.lit(999).alias("local_idx"), F.lit(0).alias("model_pos"), F.lit(0.9).alias("rerank_score"))
@@ -482,20 +530,20 @@ def top06_rerank_fill(t):
 
 
 @R.add(
-    f"WITH r AS (SELECT chunk_ord, arxiv_id, {sql_section_type('section')} AS section_type, md5('{E.seed}:' || chunk_ord) AS h FROM chunks_norm), "
-    f"c AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY arxiv_id ORDER BY h, chunk_ord) <= {E.per_paper}), "
+    f"WITH r AS (SELECT chunk_ord, arxiv_id, {sql_section_type('section')} AS section_type, md5('{sampling.SEED}:' || chunk_ord) AS h FROM chunks_norm), "
+    f"c AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY arxiv_id ORDER BY h, chunk_ord) <= {sampling.PER_PAPER}), "
     'p AS (SELECT *, row_number() OVER (PARTITION BY section_type ORDER BY h, chunk_ord)::INT AS "pass" FROM c) '
-    f'SELECT chunk_ord, arxiv_id, section_type, "pass" FROM p ORDER BY "pass", section_type LIMIT {E.n_questions}'
+    f'SELECT chunk_ord, arxiv_id, section_type, "pass" FROM p ORDER BY "pass", section_type LIMIT {sampling.QUESTIONS}'
 )
 def win03_stratified_sample(t):
-    return sampling.stratified(t("chunks_norm"), E.n_questions, E.per_paper, E.seed)
+    return sampling.stratified(t("chunks_norm"))
 
 
 # --- evaluation ----------------------------------------------------------------------------------------------------------------------
 
 GOLD = rf"""{CHUNK_OF},
-gold AS (SELECT a.question_id, any_value(a.question) AS question, any_value(a.source_chunk_id) AS source_chunk_id, any_value(c.arxiv_id) AS gold_paper FROM asked a JOIN last_chunk c ON a.source_chunk_id = c.chunk_id WHERE c.chunk_ord % 100 = 0 GROUP BY 1)"""
-HITS = f"""{GOLD}, {bm25_pool(E.k, "queries AS (SELECT question_id AS query_id, question AS query FROM gold)")},
+gold AS (SELECT a.question_id, any_value(a.question) AS question, any_value(a.source_chunk_id) AS source_chunk_id, any_value(c.arxiv_id) AS gold_paper, any_value(c.chunk_ord) AS gold_ord FROM asked a JOIN last_chunk c ON a.source_chunk_id = c.chunk_id WHERE c.chunk_ord % 100 = 0 GROUP BY 1)"""
+HITS = f"""{GOLD}, {bm25_pool(metrics.K, "queries AS (SELECT question_id AS query_id, question AS query FROM gold)")},
 best AS (SELECT query_id, min(CASE WHEN c.chunk_id = g.source_chunk_id THEN rank END) AS c, min(CASE WHEN c.arxiv_id = g.gold_paper THEN rank END) AS p FROM pool JOIN chunks_norm c USING (chunk_ord) JOIN gold g ON g.question_id = query_id GROUP BY 1)"""
 
 
@@ -511,8 +559,8 @@ def agg08_agg09_question_scores(t):
     """BM25 on the questions whose source chunk has an id divisible by 100, against all chunks."""
     gold = _gold(t)
     asked = gold.select(F.col("question_id").alias("query_id"), F.col("question").alias("query"))
-    got = search.pool(t("chunks_norm"), asked, E.k).withColumnRenamed("query_id", "question_id").join(t("chunks_norm").select("chunk_ord", "chunk_id", "arxiv_id"), "chunk_ord")
-    s = metrics.question_scores(got, gold, E.k)
+    got = search.pool(t("chunks_norm"), asked, metrics.K, index=_index(t)).withColumnRenamed("query_id", "question_id").join(t("chunks_norm").select("chunk_ord", "chunk_id", "arxiv_id"), "chunk_ord")
+    s = metrics.question_scores(got, gold, metrics.K)
     return s.withColumns({m: F.round(m, 6) for m in ("mrr_chunk", "mrr_paper")})
 
 
@@ -543,14 +591,14 @@ def agg12_precision(t):
     return t("questions").select("question_id", "created_at", bits.alias("b")).select("question_id", "created_at", F.round(metrics.precision(F.col("b")), 6).alias("context_precision"))
 
 
-BANDS = f"""o AS (SELECT question_id, any_value(CASE WHEN overlap < {E.band_low} THEN 'low' WHEN overlap < {E.band_high} THEN 'mid' WHEN overlap IS NOT NULL THEN 'high' END) AS band FROM questions GROUP BY 1)"""
+BANDS = f"""o AS (SELECT question_id, max(CASE WHEN overlap < {metrics.LOW} THEN 'low' WHEN overlap < {metrics.HIGH} THEN 'mid' WHEN overlap IS NOT NULL THEN 'high' END) AS band FROM questions GROUP BY 1)"""
 
 
 @R.add(
     f"WITH {BANDS}, d AS (SELECT DISTINCT * FROM tier1_results) SELECT config, band, count(*) AS n, round(avg(recall_chunk), 4) AS recall_chunk, round(avg(recall_paper), 4) AS recall_paper FROM d JOIN o USING (question_id) GROUP BY 1, 2"
 )
 def agg13_overlap_bands(t):
-    bands = t("questions").groupBy("question_id").agg(F.first(metrics.band(F.col("overlap"), E.band_low, E.band_high)).alias("band"))
+    bands = t("questions").groupBy("question_id").agg(F.max(metrics.band(F.col("overlap"))).alias("band"))
     rows = t("tier1_results").distinct().join(bands, "question_id")
     return rows.groupBy("config", "band").agg(F.count("*").alias("n"), F.round(F.avg("recall_chunk"), 4).alias("recall_chunk"), F.round(F.avg("recall_paper"), 4).alias("recall_paper"))
 
@@ -594,33 +642,94 @@ def inc02_incremental_chunks(t):
     return ingest.chunk_stream(_bodies(t), "doc_id").select("chunk_id", F.md5("text").alias("text"), "n_words")
 
 
-@R.add()
-def llm01_expand_stub(t):
+# --- model-backed steps, with the stand-ins ------------------------------------------------------------------------------------------
+
+EXPANDED = "coalesce(question || ' ', '') || array_to_string(list_slice(regexp_extract_all(coalesce(question, ''), '[A-Za-z]{3,}'), 1, 3), ' ')"
+#: The stand-in's order of a pool: every other place from the last one back, then the others.
+RANKED = """ranked AS (SELECT query_id, chunk_ord, rank - 1 AS i, count(*) OVER (PARTITION BY query_id) AS n FROM pool),
+reranked AS (SELECT query_id, chunk_ord, CASE WHEN (n - 1 - i) % 2 = 0 THEN round((i + 1)::DOUBLE / n, 6) ELSE 0.0 END AS rerank_score,
+  row_number() OVER (PARTITION BY query_id ORDER BY (n - 1 - i) % 2, CASE WHEN (n - 1 - i) % 2 = 0 THEN -i ELSE i END)::INT AS rank FROM ranked)"""
+HYDE_POOL = f"""{GOLD}, {bm25_pool(models.CANDIDATES, f"queries AS (SELECT question_id AS query_id, {EXPANDED} AS query FROM gold)")}, {RANKED}"""
+CONTEXT = f"{HYDE_POOL}, context AS (SELECT query_id AS question_id, rank, rerank_score, c.* FROM reranked JOIN chunks_norm c USING (chunk_ord) WHERE rank <= {search.TOP})"
+ANSWERS = f"""{CONTEXT}, answers AS (SELECT question_id, question, {sql_strip(f"CASE WHEN coalesce(title, '') <> '' THEN title || ' [0]' ELSE {_str(models.REFUSAL)} END")} AS answer
+  FROM gold JOIN context USING (question_id) WHERE rank = 1)"""
+VERDICTS = """round(least(1.0, (length(answer) % 13) / 10.0), 6)::DOUBLE AS faithfulness,
+  CASE WHEN length(coalesce(question, '')) % 5 <> 0 THEN round(least(1.0, (length(coalesce(question, '')) % 11) / 10.0), 6)::DOUBLE END AS answer_relevance,
+  CASE WHEN length(coalesce(question, '')) % 5 <> 0 THEN round(2 / 3, 6)::DOUBLE END AS context_precision"""
+
+
+@R.add(f"SELECT DISTINCT question_id, {EXPANDED} AS query FROM questions")
+def llm01_expanded(t):
     return models.expanded(t("questions").select("question_id", "question").distinct(), models.ExpandStub())
 
 
-def _prompts(t):
-    rows = _search(t)
-    listing = prompts.listing(rows, P.passage_chars)
-    asked = _queries(t).join(listing, "query_id").select(F.col("query_id").alias("question_id"), F.col("query").alias("question"), "listing")
-    return asked.withColumn("prompt", F.concat(F.lit("Question: "), F.coalesce("question", F.lit("")), F.lit("\n\nPassages:\n"), "listing", F.lit("\n\nAnswer:")))
+@R.add(f"WITH {CONTEXT} SELECT question_id, rank, rerank_score, chunk_ord, chunk_id, arxiv_id, title, section, source, abs_url, text FROM context")
+def llm02_llm03_llm04_reranked(t):
+    """Full chunk rows with the model's score, and so the context of an answer: ranked anew from the pool of the expanded question."""
+    return models.rerank(_gold(t), t("chunks_norm"), models.STUBS, index=_index(t)).select("question_id", "rank", F.round("rerank_score", 6).alias("rerank_score"), "chunk_ord", *search.RESULT)
+
+
+@R.add(f"WITH {ANSWERS} SELECT question_id, question, answer FROM answers")
+def llm05_answers(t):
+    context = models.rerank(_gold(t), t("chunks_norm"), models.STUBS, index=_index(t))
+    return models.answered(context, _gold(t), models.AnswerStub())
+
+
+@R.add(
+    f"""WITH w AS (SELECT *, regexp_extract_all(substr(coalesce(text, ''), 1, {prompts.READ_CHARS}), '[A-Za-z]{{3,}}') AS w FROM chunks_norm WHERE chunk_ord % 100 = 0),
+    q AS (SELECT *, 'What is ' || w[1] || '?' AS question FROM w WHERE len(w) > 1), k AS (SELECT *, list_distinct({sql_tokens("question")}) AS q, {sql_tokens("text")} AS c FROM q)
+    SELECT chunk_id AS question_id, question, w[2] AS reference_answer, chunk_id AS source_chunk_id, arxiv_id, section, {sql_section_type("section")} AS section_type,
+    round(CASE WHEN len(q) > 0 THEN len(list_intersect(q, c))::DOUBLE / len(q) ELSE 0.0 END, 3) AS overlap FROM k"""
+)
+def llm06_questions(t):
+    return models.generated(t("chunks_norm").filter("chunk_ord % 100 = 0"), models.AskStub())
+
+
+@R.add(f"WITH {ANSWERS} SELECT question_id, {VERDICTS} FROM answers")
+def llm07_llm09_cells(t):
+    """Context, answer and three verdicts for each question."""
+    out = models.cell(_gold(t), t("chunks_norm"), models.STUBS, index=_index(t))
+    return out.select("question_id", *[F.round(m, 6).alias(m) for m in ("faithfulness", "answer_relevance", "context_precision")])
+
+
+@R.add("SELECT vec_id, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 4) AS length FROM embeddings")
+def llm08_unit_vectors(t):
+    v = t("embeddings").select("vec_id", dense.normalized(F.col("embedding")).alias("v"))
+    return v.select("vec_id", F.round(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))), 4).alias("length"))
 
 
-@R.add()
-def llm02_rerank_stub(t):
-    rows = _prompts(t).withColumn("n", F.lit(S.top_k))
-    return models.reranked_order(rows, models.RerankStub())
+def sql_scores(arms: list[str]) -> str:
+    """Retrieval metrics of rows (question_id, config, rank, chunk_ord)."""
+    rows = " UNION ALL ".join(arms)
+    return f"""found AS ({rows}), best AS (SELECT question_id, config, min(CASE WHEN c.chunk_id = g.source_chunk_id THEN rank END) AS c, min(CASE WHEN c.arxiv_id = g.gold_paper THEN rank END) AS p
+  FROM found JOIN chunks_norm c USING (chunk_ord) JOIN gold g USING (question_id) WHERE rank <= {metrics.K} GROUP BY ALL)
+SELECT question_id, config, (c IS NOT NULL)::DOUBLE AS recall_chunk, (p IS NOT NULL)::DOUBLE AS recall_paper, round(coalesce(1.0 / c, 0.0), 6) AS mrr_chunk, round(coalesce(1.0 / p, 0.0), 6) AS mrr_paper FROM best"""
 
 
-@R.add()
-def llm05_answer_stub(t):
-    return models.ask(_prompts(t), models.AnswerStub(), "Answer from the passages alone.").select("question_id", "reply")
+BOTH = f"queries AS (SELECT 'p|' || question_id AS query_id, question AS query FROM gold UNION ALL SELECT 'h|' || question_id AS query_id, {EXPANDED} AS query FROM gold)"
 
 
-@R.add()
-def llm07_judge_stub(t):
-    answered = models.ask(_prompts(t), models.AnswerStub(), "Answer from the passages alone.")
-    rows = answered.withColumn("prompt", F.concat("listing", F.lit("\n\nAnswer:\n"), "reply"))
-    return models.judged(rows, models.JudgeStub(), "Score the answer.", generator=models.AnswerStub.name)
+def _arm(config: str, rows: str, kind: str) -> str:
+    return f"SELECT substr(query_id, 3) AS question_id, '{config}' AS config, rank, chunk_ord FROM {rows} WHERE starts_with(query_id, '{kind}|')"
 
 
+@R.add(f"WITH {GOLD}, {bm25_pool(models.CANDIDATES, BOTH)}, {RANKED}, {sql_scores([_arm('bm25', 'pool', 'p'), _arm('hyde', 'pool', 'h'), _arm('rerank', 'reranked', 'h'), _arm('rerank_nohyde', 'reranked', 'p')])}")
+def eval_arms(t):
+    """Four pipelines on the questions whose source chunk has an id divisible by 100, against all chunks."""
+    s = models.arm_scores(metrics.CONFIGS, _gold(t), t("chunks_norm"), models.STUBS, metrics.K, index=_index(t))
+    return s.withColumns({m: F.round(m, 6) for m in ("mrr_chunk", "mrr_paper")})
+
+
+@R.add(
+    f"""WITH {GOLD}, v AS (SELECT chunk_ord, embedding::DOUBLE[] AS e FROM embeddings JOIN chunks_norm ON vec_id = chunk_ord),
+scored AS (SELECT question_id AS query_id, v.chunk_ord, round(list_inner_product(q.e, v.e), 6) AS score FROM gold JOIN v q ON q.chunk_ord = gold_ord // 100, v),
+pool AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_ord) AS rank FROM scored QUALIFY rank <= {models.CANDIDATES}), {RANKED},
+{sql_scores(["SELECT query_id AS question_id, 'dense' AS config, rank, chunk_ord FROM pool", "SELECT query_id AS question_id, 'dense_rerank' AS config, rank, chunk_ord FROM reranked"])}"""
+)
+def eval_dense_arms(t):
+    """The two pipelines over vectors: a question has the vector numbered by a hundredth of its source chunk's id."""
+    chunks = t("chunks_norm")
+    vectors = t("embeddings").select(F.col("vec_id").alias("chunk_ord"), "embedding").join(chunks.select("chunk_ord"), "chunk_ord", "left_semi")
+    gold = _gold(t).join(chunks.filter("chunk_ord % 100 = 0").select(F.col("chunk_id").alias("source_chunk_id"), F.expr("chunk_ord div 100").alias("chunk_ord")), "source_chunk_id").join(vectors, "chunk_ord").drop("chunk_ord")
+    s = models.arm_scores(("dense", "dense_rerank"), gold, chunks, models.STUBS, metrics.K, vectors=vectors)
+    return s.withColumns({m: F.round(m, 6) for m in ("mrr_chunk", "mrr_paper")})

@@ -1,19 +1,19 @@
-"""Read-through cache of expensive results as a table of key and value (JSON)."""
+"""Read-through cache of expensive results as a table of key and value (JSON), on any file system."""
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chalkline.sources import files
+
 SCHEMA = "key string, value string"
 #: JSON texts that count as empty and are never stored.
 EMPTY = ("null", '""', "[]", "{}", "0", "0.0", "false", "")
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(SCHEMA).parquet(path) if Path(path).exists() else spark.createDataFrame([], SCHEMA)
+    return spark.read.schema(SCHEMA).parquet(path) if files.exists(spark, path) else spark.createDataFrame([], SCHEMA)
 
 
 def hits(requests: DataFrame, cache: DataFrame) -> DataFrame:
@@ -30,7 +30,8 @@ def storable(results: DataFrame) -> DataFrame:
 
 
 def read_through(requests: DataFrame, path: str, compute) -> DataFrame:
-    """Every request with its value: compute(misses) gives key and value, each distinct key once; what is not empty is appended to the table."""
+    """Every request with its value: compute(misses) gives key and value, each distinct key once; what is not empty is appended to the table.
+    What is empty is computed again by the next run, and null here."""
     spark = requests.sparkSession
     new = compute(misses(requests, load(spark, path)).dropDuplicates(["key"]))
     storable(new).write.mode("append").parquet(path)

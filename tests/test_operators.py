@@ -6,11 +6,10 @@ import tarfile
 import pytest
 from pyspark.sql import functions as F
 
-from chalkline.config import Bm25Params, ChunkParams, CorpusParams
 from chalkline.functions.text import STOP_WORDS
 from chalkline.operators import bm25, chunking, corpus, dense, metrics, prompts, ranking, sampling
 from chalkline.plans import build, models, search
-from chalkline.sources import cache, fetch, tables
+from chalkline.sources import cache, fetch, files, tables
 
 
 # --- chunking ---
@@ -40,7 +39,7 @@ def test_sections_and_chunks(spark):
 
 def test_small_steps_never_lose_a_word(spark):
     text = " ".join(f"w{i}" for i in range(53))
-    got = spark.createDataFrame([(text,)], "t string").select(chunking.windows(F.col("t"), ChunkParams(10, 4, 2)).alias("w")).first()["w"]
+    got = spark.createDataFrame([(text,)], "t string").select(chunking.windows(F.col("t"), 10, 4, 2).alias("w")).first()["w"]
     assert {w for ws in got for w in ws} == set(text.split())
 
 
@@ -63,8 +62,7 @@ def test_match_gate_selection(spark):
     )
     assert sorted(r[0] for r in rows.filter(corpus.paper_match()).select("arxiv_id").collect()) == ["a", "b"]
     cited = spark.createDataFrame([("a", 3, "2015"), ("b", 2, "2024-01-01"), ("c", None, None), ("d", 9, None), ("e", 3, "2016")], "arxiv_id string, s2_citations int, published string")
-    p = CorpusParams(target_size=3)
-    assert [r["arxiv_id"] for r in corpus.selection(cited, p).orderBy("sel_rank").collect()] == ["d", "e", "a"]
+    assert [r["arxiv_id"] for r in corpus.selection(cited, 3).orderBy("sel_rank").collect()] == ["d", "e", "a"]
 
 
 def test_enriched_takes_the_last_lookup_and_defaults(spark):
@@ -87,7 +85,7 @@ def test_snapshot_rows(spark):
 DOCS = [(0, "ice sheet melts fast"), (1, "ice ice core"), (2, ""), (3, "ice sheet melts fast"), (4, "wind stress field"), (5, None)]
 
 
-def by_hand(docs, query, p=Bm25Params()):
+def by_hand(docs, query, p=bm25.Weights()):
     toks = {i: [w for w in (t or "").lower().split() if w not in STOP_WORDS and len(w) > 1] for i, t in docs}
     n, avg = len(toks), sum(map(len, toks.values())) / len(toks)
     df = {}
@@ -178,9 +176,24 @@ def test_dense_against_brute_force(spark):
     for q in range(3):
         want = sorted(range(40), key=lambda i: (-round(float(f[q] @ f[i]), 6), i))[:5]
         assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == want
-    with pytest.raises(ValueError):
-        dense.top_dense(df, df, 5, block=3)
     assert dense.top_dense(df, df.limit(0), 5).count() == 0
+    ranked = lambda block: sorted(map(tuple, dense.top_dense(df, df, 5, block=block).collect()))
+    whole = ranked(4096)
+    assert len(whole) == 40 * 5 and ranked(7) == whole and ranked(1) == whole
+
+
+def test_vector_store_resumes(spark, tmp_path):
+    rows, path, seen = spark.range(50).select(F.col("id").alias("vec_id"), F.array(F.col("id").cast("float"), F.lit(4.0).cast("float")).alias("embedding")), str(tmp_path / "v"), []
+
+    def embed(todo):
+        seen.append(sorted(r["block_id"] for r in todo.select("block_id").distinct().collect()))
+        return todo.withColumn("embedding", dense.normalized(F.col("embedding")))
+
+    assert dense.store(rows.filter("vec_id < 20"), path, embed, block=10) == 20
+    assert dense.store(rows, path, embed, block=10) == 30 and dense.store(rows, path, embed, block=10) == 0
+    assert seen == [[0, 1], [2, 3, 4]]
+    got = dense.stored(spark, path).orderBy("vec_id").collect()
+    assert [r["vec_id"] for r in got] == list(range(50)) and got[3]["embedding"] == pytest.approx([0.6, 0.8])
 
 
 def test_sample_caps_and_balance(spark):
@@ -227,8 +240,8 @@ def test_jsonl_split_manifest(spark, tmp_path):
     tables.write_split(df, "kept", str(tmp_path / "s"))
     assert spark.read.parquet(str(tmp_path / "s" / "kept=true")).count() == 1
     assert tables.write_manifest(str(tmp_path / "m.json"), {"k": 1}, df.agg(F.count("*").alias("n")))["counts"] == {"n": 2}
-    assert tables.build_once(str(tmp_path / "b"), lambda: df, fingerprint="1") and not tables.build_once(str(tmp_path / "b"), lambda: df, fingerprint="1")
-    assert tables.build_once(str(tmp_path / "b"), lambda: df, fingerprint="2")
+    assert tables.build_once(spark, str(tmp_path / "b"), lambda: df, fingerprint="1") and not tables.build_once(spark, str(tmp_path / "b"), lambda: df, fingerprint="1")
+    assert tables.build_once(spark, str(tmp_path / "b"), lambda: df, fingerprint="2")
 
 
 def test_fetch_backoff():
@@ -302,19 +315,118 @@ def test_cache_reads_through_and_stores_no_empty_result(spark, tmp_path):
     assert calls[1] == ["b"]
 
 
-def test_models_and_guards(spark):
-    q = spark.createDataFrame([("a", "Why does ocean heat rise?"), ("b", "")], "question_id string, question string")
-    got = {r["question_id"]: r["query"] for r in models.expanded(q, models.ExpandStub()).collect()}
-    assert got["a"].startswith("Why does ocean heat rise? ") and "ocean" in got["a"][25:]
-    p = spark.createDataFrame([("a", "Query: ice\n\nPassages:\n[0] T\nwind\n\n[1] T\nice sheet", 2)], "question_id string, prompt string, n int")
-    assert [r["local_idx"] for r in models.reranked_order(p, models.RerankStub()).orderBy("model_pos").collect()] == [1, 0]
+def test_files_on_any_file_system(spark, tmp_path):
+    path = f"file://{tmp_path}/x/y.txt"
+    assert files.read_text(spark, path) is None
+    files.write_text(spark, path, "grün")
+    assert files.read_text(spark, path) == "grün" and files.exists(spark, path)
+    mark = files.fingerprint(spark, f"file://{tmp_path}")
+    files.write_text(spark, path, "greener")
+    assert files.fingerprint(spark, f"file://{tmp_path}") != mark
+    files.delete(spark, path)
+    assert not files.exists(spark, path)
+    assert files.relative("/a//b/./c/d.json", "/a/b/") == "c/d.json" and files.relative("/a", "/a") == ""
+    with pytest.raises(ValueError):
+        files.relative("/ab/c", "/a")
+
+
+def test_rescope_keeps_the_lookups(spark, tmp_path):
+    folder, asked, ids = str(tmp_path), [], [["a", "b"]]
+    scan = lambda: spark.createDataFrame([(i,) for i in ids[0]], "arxiv_id string")
+
+    def look_up(todo):
+        asked.append(sorted(r["arxiv_id"] for r in todo.collect()))
+        return todo.select("arxiv_id", F.lit(1).alias("n"))
+
+    assert not tables.scoped(spark, folder, scan, look_up)[1].filter("n is null").count()
+    ids[0] = ["b", "c"]
+    assert not tables.scoped(spark, folder, scan, look_up)[0]
+    scanned, rows = tables.scoped(spark, folder, scan, look_up, "rescope")
+    assert scanned and sorted(r["arxiv_id"] for r in rows.collect()) == ["b", "c"]
+    tables.scoped(spark, folder, scan, look_up, "refresh")
+    assert asked == [["a", "b"], [], ["c"], ["b", "c"]]
     with pytest.raises(ValueError):
-        models.judged(p, models.JudgeStub(), "s", "stub-judge")
-    assert models.parsed_question('x {"question": " a ", "answer": "b"}') == {"question": "a", "answer": "b"} and models.parsed_question('{"question": "a"}') is None
+        tables.scoped(spark, folder, scan, look_up, "all")
+
+
+def test_kept_index_follows_its_table(spark, tmp_path):
+    path = str(tmp_path / "c.parquet")
+    spark.createDataFrame(DOCS, "chunk_ord bigint, text string").write.parquet(path)
+    assert search.kept_index(spark, path).stats.first()["n_docs"] == len(DOCS)
+    spark.createDataFrame([*DOCS, (9, "ice")], "chunk_ord bigint, text string").write.mode("overwrite").parquet(path)
+    index = search.kept_index(spark, path)
+    search.check_alignment(index, spark.read.parquet(path))
+    q = spark.createDataFrame([("q", "ice melts")], "query_id string, query string")
+    assert search.pool(spark.read.parquet(path), q, 9, index=index).orderBy("rank").collect() == search.pool(spark.read.parquet(path), q, 9).orderBy("rank").collect()
+
+
+def fixed(name, reply):
+    """A client of one reply; a local class, so that it travels to the tasks."""
+
+    class Client:
+        def complete(self, system, prompt):
+            return reply
+
+    Client.name = name
+    return Client()
+
+
+def test_expansion_and_guards(spark):
+    q = spark.createDataFrame([("a", "Why does ocean heat rise?"), ("b", ""), ("c", None)], "question_id string, question string")
+    got = {r["question_id"]: r["query"] for r in models.expanded(q, models.ExpandStub()).collect()}
+    assert got == {"a": "Why does ocean heat rise? Why does ocean", "b": " ", "c": ""}
+    plain = {r["question_id"]: r["query"] for r in models.expanded(q, fixed("m", "sea ice"), echo=False).collect()}
+    assert set(plain.values()) == {"sea ice"}
     df = spark.createDataFrame([("ok", 0), (" ", 0), (None, 0), ("x" * 301, 0), ("ok", 20)], "q string, n int")
     assert [r[0] for r in df.select(prompts.guard(F.col("q"), F.col("n"))).collect()] == ["ok", "blank", "blank", "too_long", "limit"]
 
 
+def test_replies_are_asked_for_once(spark, tmp_path):
+    """A second run takes every reply from the cache, even of a model that would now say something else; another setting asks again."""
+    rows = spark.createDataFrame([("a", "p1"), ("b", "p1"), ("c", "p2"), ("d", None)], "id string, prompt string")
+    ask = lambda reply, **more: {r["id"]: r["reply"] for r in models.ask(rows, fixed("m", reply), "s", str(tmp_path / "kv"), **more).collect()}
+    assert ask("one") == {"a": "one", "b": "one", "c": "one", "d": None}
+    assert ask("two") == ask("one") and ask("two", t=1)["a"] == "two"
+    assert spark.read.parquet(str(tmp_path / "kv")).count() == 4
+
+
+def test_rerank_keeps_scores_and_the_models_order(spark):
+    pool = spark.createDataFrame([("q", i + 1, f"T{i}", "x", 10 + i) for i in range(4)], "question_id string, rank int, title string, text string, chunk_ord bigint")
+    asked = spark.createDataFrame([("q", "ice?")], "question_id string, question string")
+    said = 'So: [{"index": 2, "score": 0.1}, {"index": 1, "score": 0.9}, {"index": 2, "score": 1}, {"index": 7, "score": 1}, {"i": 0}, {"index": 0, "score": "high"}]'
+    order = lambda reply, top=None: [(r["chunk_ord"], r["rerank_score"]) for r in models.reranked(pool, asked, fixed("m", reply), top).orderBy("rank").collect()]
+    assert order(said) == [(12, 0.1), (11, 0.9), (10, 0.0), (13, 0.0)]
+    assert order(said, 2) == [(12, 0.1), (11, 0.9)]
+    assert order("sorry") == [(10, 0.0), (11, 0.0), (12, 0.0), (13, 0.0)]
+
+
+def test_answers_and_verdicts(spark):
+    context = spark.createDataFrame([("q", 1, "A title", "sea ice", 1)], "question_id string, rank int, title string, text string, chunk_ord bigint")
+    asked = spark.createDataFrame([("q", "ice?"), ("r", "wind?")], "question_id string, question string")
+    answers = models.answered(context, asked, models.AnswerStub())
+    assert {r["question_id"]: r["answer"] for r in answers.collect()} == {"q": "A title [0]", "r": models.REFUSAL}
+    verdict = lambda reply: models.judged(answers.filter("question_id = 'q'"), context, fixed("j", reply)).first()[1:]
+    assert verdict('{"score": 1.5}') == (1.0, 1.0, None)
+    assert verdict('{"score": "many"}') == (0.0, 0.0, None)
+    assert verdict('x {"relevant": ["yes", 0, "perhaps"]}') == (None, None, 0.5)
+    assert verdict("[1, 1, 0, 0.5]") == (None, None, 0.75)
+    assert verdict("none") == (None, None, None)
+    with pytest.raises(ValueError):
+        models.Clients(models.ExpandStub(), models.RankStub(), models.AnswerStub(), models.AnswerStub())
+    with pytest.raises(ValueError):
+        models.arm_ranks("dense", asked, context, models.STUBS, 3)
+
+
+def test_generated_questions(spark):
+    assert models.parsed_question('x {"question": " a ", "answer": "b"}') == {"question": "a", "answer": "b"}
+    assert models.parsed_question('{"question": "a"}') is None and models.parsed_question('{"question": "a", "answer": " "}') is None and models.parsed_question("[1]") is None
+    rows = [("p:0:0", "p", "T", "Data", "Sea ice melts"), ("p:0:1", "p", None, None, "no"), ("p:0:2", "p", "T", None, None), ("p:0:3", "p", "T", None, "Wind stress")]
+    chunks = spark.createDataFrame(rows, "chunk_id string, arxiv_id string, title string, section string, text string")
+    done = spark.createDataFrame([("p:0:3",)], "source_chunk_id string")
+    got = models.generated(chunks, models.AskStub(), done).collect()
+    assert [(r["question_id"], r["question"], r["reference_answer"], r["section_type"], r["overlap"]) for r in got] == [("p:0:0", "What is Sea?", "ice", "methods", 1.0)]
+
+
 def test_listing(spark):
     df = spark.createDataFrame([("q", 2, "T2", "x" * 9, "p2", ""), ("q", 1, None, "abc", "p1", "u1")], "query_id string, rank int, title string, text string, arxiv_id string, abs_url string")
     assert prompts.listing(df, 4).first()["listing"] == "[0] \nabc\n\n[1] T2\nxxxx"
