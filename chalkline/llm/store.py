@@ -2,26 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Only where that is unset, as in tests on one machine, a temporary one is set."""
-    sc = spark.sparkContext
-    got = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if got is None:
-        got = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
-    if got is None:
-        got = tempfile.mkdtemp(prefix="chalkline-")
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(got)
-    return got
+from chalkline.sources.files import shared_folder
 
 
 def saved(df: DataFrame) -> DataFrame:
