@@ -93,7 +93,14 @@ def p4_pieces(t):
 
 @R.add()
 def p5_found(t):
-    return markup.cleaned(t("chunks_norm")).filter(F.col("n_residues") > 0).select("chunk_ord")
+    """Texts whose tree has marks."""
+    return markup.marked(t("chunks_norm")).filter(F.col("n_residues") > 0).select("chunk_ord")
+
+
+@R.add()
+def p5_trees(t):
+    """Marks, elements and the share of the text that the scores keep."""
+    return markup.marked(t("chunks_norm"))
 
 
 @R.add()

@@ -128,3 +128,48 @@ def test_cleaned_table(spark):
 @pytest.mark.parametrize("text", ["border=1 align=center>the heat flux", "a run\n& 3.2 of it", "4\t&\tof it", "a line\n#\tThe heat flux"])
 def test_fixed_parts_are_held_by_every_match(text):
     assert sum(markup.residues(text).values()) > 0
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<p>a word of it, " * 100_000, "<div>" * 100_000 + "x", "<b>x " * 50_000, "<li>it" * 50_000, "</b>" * 50_000 + "<i>" * 50_000, "<!-- a " * 30_000, "<" * 100_000, "{\\bf x" * 20_000, "[[a|" * 20_000, "<b>x</b>" + "\n" * 50_000, "`x " * 50_000],
+)
+def test_hostile_pages_take_linear_time(page):
+    import time
+
+    t = time.perf_counter()
+    markup.judged(page)
+    markup.clean(page)
+    assert time.perf_counter() - t < 20
+
+
+def test_long_pages_and_constructs_are_read_whole(spark):
+    page = "<div>" + "<p>We find, in the end, that the flux of heat is what it was, and so on.</p>" * 130_000 + "</div>"
+    assert len(page) > 9_000_000
+    n, kinds, elements, kept = markup.judged(page)
+    assert n == 260_002 and kinds == ["html"] and elements == 130_001 and kept == 1.0
+    assert markup.clean(page).count("We find") == 130_000
+    link = "https://a.example/" + "x" * 5000
+    assert markup.clean(f'class="{"w " * 300}" href="{link}">the heat flux') == "the heat flux"
+    assert markup.clean(f"[{'label ' * 200}]({link}) and so").startswith("label label")
+    assert markup.clean("$$" + "\\frac{" * 9 + "a" + "}{b}" * 9 + "$$").count("/(b)") == 9
+    assert markup.clean("It is &amp;amp;lt;i&amp;amp;gt;so&amp;amp;lt;/i&amp;amp;gt; here.") == "It is so here."
+
+
+def test_links_of_all_markups_weigh_as_links():
+    """A list of Markdown links around the text is furniture as one of HTML links is."""
+    body = "".join(f"<p>We find, in the end, that the flux of heat is what it was, and that this can be seen here, case {i}.</p>" for i in range(4))
+    got = markup.clean(f"<div>[Home page](a) [Archive of it](b) [[Shop|Shop of it]]</div><div>{body}</div>")
+    assert got.count("We find") == 4 and "Archive" not in got
+
+
+def test_stars():
+    assert markup.residues("to* do with the flux")["markdown"] == 1 and markup.clean("to* do with the flux") == "to do with the flux"
+    assert not markup.marks("Coefficients marked* are significant") and not markup.marks("0.64* for it")
+
+
+def test_marks_on_the_tree(spark):
+    df = spark.createDataFrame([(1, "a <i>b</i> and **c**"), (2, None), (3, "plain"), (3, "plain"), (4, "")], "chunk_ord bigint, text string")
+    got = [tuple(r) for r in markup.marked(df).orderBy("chunk_ord").collect()]
+    assert got == [(1, 4, ["html", "markdown"], 1, 1.0), (2, 0, [], 0, 1.0), (3, 0, [], 0, 1.0), (3, 0, [], 0, 1.0), (4, 0, [], 0, 1.0)]
+    assert markup.marked(df.limit(0)).count() == 0
