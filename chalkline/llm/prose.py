@@ -43,7 +43,7 @@ account reject separate rule draw draws drew bring brings brought called use use
 #: Endings of finite past forms; counted only among function words, since they also end headings such as 'continued'.
 PAST = re.compile(r"^[a-z]{3,}ed$")
 STRIP = "\"'`*_~()[]{}<>.,;:!?|#=+-–—‘’“”…·•"
-PUNCTUATED = re.compile(r"[.!?:;,][\"')\]”’]*\s*$")
+MARKS, CLOSERS = tuple(".!?:;,"), "\"')]”’"
 BULLET = re.compile(r"^\s*(?:[-*+–—•●▪·]|\(?\d{1,3}[.)]|\(?[a-z][.)])\s")
 LETTER = re.compile(r"[^\W\d_]")
 INITIAL = re.compile(r"^[(\[]?[a-z]\.[,;]?$")
@@ -175,10 +175,10 @@ def batch_stats(texts: list, known: Words, p: ProseParams = ProseParams()) -> di
     lines = [[x for x in t.split("\n") if x and not x.isspace()] if t else [] for t in texts]
     m = np.fromiter(map(len, lines), np.int64, len(lines))
     of = lambda f: np.round(np.fromiter(map(f, lines), np.int64, len(lines)) / np.maximum(m, 1), 6)
-    ended, bullet = PUNCTUATED.search, BULLET.match
+    bullet = BULLET.match
     out["n_lines"] = m
-    out["punctuated_lines"] = of(lambda ls: sum(1 for x in ls if ended(x[-8:])))
-    out["bullet_lines"] = of(lambda ls: sum(1 for x in ls if bullet(x[:16])))
+    out["punctuated_lines"] = of(lambda ls: sum(1 for x in ls if x.rstrip().rstrip(CLOSERS).endswith(MARKS)))
+    out["bullet_lines"] = of(lambda ls: sum(1 for x in ls if bullet(x)))
     out["repeated_lines"] = of(lambda ls: len(ls) - len(set(ls)))
     out["ellipsis_lines"] = of(lambda ls: sum(1 for x in ls if x.rstrip().endswith(("…", "..."))))
     return out
@@ -197,7 +197,7 @@ def statistics(rows: DataFrame, key: str = "chunk_ord", text: str = "text", p: P
     return rows.select(key, text, *keep).mapInArrow(run, ", ".join([*types, *(f"{c} {t}" for c, t in STATS.items())]))
 
 
-#: Published thresholds for web text, by the rule that records a failure. They are advice here: a chunk of 30 words may be prose.
+#: Published thresholds for web text, by the rule that records a failure.
 RULES = {
     "few_words": "n_counted < 50",
     "word_length": "mean_word_length < 3 OR mean_word_length > 10",
@@ -210,11 +210,16 @@ RULES = {
 }
 
 
+#: The rules whose failure decides by itself, in texts of the length that the rules are for. The others are recorded, as by the meaning of prose here a text may be short, crowded with numbers,
+#: set as a list of sentences or repeated in part, and still be prose; the README has what each rule finds.
+DECIDING = ("no_common_words", "ellipsis")
+
+
 def judged(stats: DataFrame, p: ProseParams = ProseParams()) -> DataFrame:
     """Adds prose_share, verdict (prose, table, list, junk, blank) and reasons, the names of the rules that failed.
 
-    A text is prose if at least half of its words belong to running sentences; only that decides between prose and the rest. A null, empty or
-    blank text is 'blank', with no reasons."""
+    A text is no prose if a deciding rule fails, and else if fewer than half of its words belong to running sentences, which is a rule of its own
+    (few_sentences). A null, empty or blank text is 'blank', with no reasons."""
     share = F.round(F.col("prose_words") / F.greatest(F.col("n_counted"), F.lit(1)), 6)
     rules = [F.when(F.expr(cond), name) for name, cond in RULES.items()]
     rules += [
@@ -224,7 +229,7 @@ def judged(stats: DataFrame, p: ProseParams = ProseParams()) -> DataFrame:
     ]
     kind = (
         F.when(F.col("n_counted") == 0, "blank")
-        .when(F.col("prose_share") >= p.prose_share, "prose")
+        .when((F.col("prose_share") >= p.prose_share) & ~F.expr(f"NOT ({RULES['few_words']}) AND ({' OR '.join(RULES[r] for r in DECIDING)})"), "prose")
         .when(F.col("odd_order_share") >= p.order_share, "junk")
         .when((F.col("n_counted") >= 40) & (F.col("distinct_share") < 0.08), "junk")
         .when(F.col("number_share") > 0.4, "table")

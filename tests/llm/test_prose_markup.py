@@ -75,6 +75,15 @@ def test_labels_agree_with_the_verdict(spark):
     assert sum(a == b for a, b in got) >= 0.93 * len(got)
 
 
+def test_a_deciding_rule_comes_first(spark):
+    """Sentences without any of the most common words are no prose from 50 words on; with them they are. Marks and bullets are read on whole lines."""
+    odd = "Flux rises. Wind falls. Snow melts. Rain grows. " * 16
+    df = spark.createDataFrame([(1, odd), (2, SENTENCES), (3, "-" + " " * 30 + "x\n" + "y" * 50 + "." + ")" * 20 + " " * 20)], "chunk_ord bigint, text string")
+    got = {r["chunk_ord"]: r for r in prose.judged(prose.statistics(df)).collect()}
+    assert got[1]["verdict"] != "prose" and "no_common_words" in got[1]["reasons"] and got[2]["verdict"] == "prose"
+    assert (got[3]["punctuated_lines"], got[3]["bullet_lines"]) == (0.5, 0.5)
+
+
 # --- markup ---
 
 
