@@ -88,6 +88,20 @@ def p4_pieces(t):
     return splitting.renumbered(splitting.pieces(rows), rows)
 
 
+@R.add(f"SELECT chunk_ord, len(list_filter(regexp_split_to_array(coalesce(text, ''), '{WS}+'), lambda w: w <> '')) AS n_words, true AS within, list_filter(regexp_split_to_array(coalesce(text, ''), '{WS}+'), lambda w: w <> '')[1] AS first_word, list_filter(regexp_split_to_array(coalesce(text, ''), '{WS}+'), lambda w: w <> '')[-1] AS last_word FROM chunks_norm")
+def p4_counts(t):
+    """By chunk the words of its pieces without the overlaps, whether each piece is within the limit, and the first and last word."""
+    p = splitting.SplitParams()
+    rows = splitting.pieces(t("chunks_norm"))
+    of = F.expr(f"filter(split(coalesce(piece_text, ''), '{WS}+'), w -> w <> '')".replace("\\", "\\\\"))
+    rows = rows.withColumn("_w", of)
+    ends = lambda pick, at: pick(F.get("_w", at), "piece")
+    return rows.groupBy("chunk_ord").agg(
+        (F.sum("piece_words") - p.overlap * (F.max("n_pieces") - 1)).alias("n_words"), (F.max("piece_words") <= p.limit).alias("within"),
+        ends(F.min_by, F.lit(0)).alias("first_word"), ends(F.max_by, F.size("_w") - 1).alias("last_word"),
+    )
+
+
 # --- 5: markup residue ---------------------------------------------------------------------------------------------------------------
 
 
@@ -116,13 +130,11 @@ def p6_ids(t):
     return tokens.encoded(t("documents"))
 
 
-@R.add("SELECT doc_id, true AS same FROM documents")
+@R.add("SELECT doc_id, md5(coalesce(text, '')) AS text, strlen(coalesce(text, ''))::BIGINT AS n_bytes, (coalesce(text, '') = '')::BOOLEAN AS no_ids FROM documents")
 def p6_round_trip(t):
-    """Every text from its ids back, compared by hash and length, so that only those meet; null and empty texts come back empty."""
-    seen = lambda c: (F.xxhash64(c), F.length(c))
-    back = tokens.decoded(tokens.encoded(t("documents")).select("doc_id", "ids")).select("doc_id", F.struct(*seen(F.col("text"))).alias("back"))
-    own = t("documents").select("doc_id", F.struct(*seen(F.coalesce("text", F.lit("")))).alias("own"))
-    return own.join(back, "doc_id").select("doc_id", (F.col("own") == F.col("back")).alias("same"))
+    """Every text from its ids back, by hash and number of bytes; null and empty texts have no ids and come back empty."""
+    back = tokens.decoded(tokens.encoded(t("documents")).select("doc_id", "ids"), keep=("ids",))
+    return back.select("doc_id", F.md5("text").alias("text"), F.octet_length("text").cast("bigint").alias("n_bytes"), (F.size("ids") == 0).alias("no_ids"))
 
 
 # --- 7: filling containers -----------------------------------------------------------------------------------------------------------
@@ -133,6 +145,13 @@ def p7_packed(t):
     return packing.packed(tokens.sizes(t("documents")), t("pack_sizes"))
 
 
+@R.add("SELECT pack_name, capacity::BIGINT AS capacity, (SELECT count(*) FILTER (text <> '') FROM documents) AS items, true AS whole, true AS fits, true AS tight FROM pack_sizes")
+def p7_valid(t):
+    """Every text with tokens is packed once and whole, no container is over its capacity, and there are hardly more than any packing needs."""
+    sizes = tokens.sizes(t("documents")).checkpoint()
+    return packing.validity(packing.packed(sizes, t("pack_sizes")), sizes, t("pack_sizes"))
+
+
 @R.add()
 def p7_report(t):
     return packing.fill_report(packing.packed(tokens.sizes(t("documents")), t("pack_sizes")), t("pack_sizes"))

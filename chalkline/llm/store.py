@@ -48,3 +48,12 @@ def rank_in_group(df: DataFrame, keys: list[str], order: list[Column], name: str
     starts = counts.withColumn("_s", F.coalesce(before, F.lit(0))).drop("_c")
     inner = rows.withColumn(name, F.row_number().over(W.partitionBy(*keys, "_b").orderBy(*order)))
     return inner.join(starts, [*keys, "_b"]).withColumn(name, F.col(name) + F.col("_s")).drop("_b", "_s")
+
+
+def sum_before(df: DataFrame, keys: list[str], value: str, order: list[Column], name: str, bucket: Column, buckets: int = 256) -> DataFrame:
+    """Sum of a value over the rows before each row of its group, without a task that holds a group: sums within (group, bucket), plus those of
+    the group's earlier buckets."""
+    rows = df.withColumn("_b", F.pmod(bucket, F.lit(buckets)).cast("int"))
+    past = lambda of, by, at: F.coalesce(F.sum(of).over(W.partitionBy(*by).orderBy(*at).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = rows.groupBy(*keys, "_b").agg(F.sum(value).alias("_c")).withColumn("_s", past("_c", keys, ["_b"])).drop("_c")
+    return rows.withColumn(name, past(value, [*keys, "_b"], order)).join(starts, [*keys, "_b"]).withColumn(name, F.col(name) + F.col("_s")).drop("_b", "_s")

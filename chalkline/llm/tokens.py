@@ -206,14 +206,16 @@ def piece_table(path: str = TokenizerParams.path) -> list[bytes]:
     return pieces
 
 
-def decoded(rows: DataFrame, key: str = "doc_id", ids: str = "ids", path: str = TokenizerParams.path) -> DataFrame:
-    """key, text: ids back to text. The table of pieces has a fixed size, so it meets the ids inside each row, by number, without a shuffle.
-    Bytes that are no UTF-8 become U+FFFD; null ids give null, an unknown id gives nothing."""
+def decoded(rows: DataFrame, key: str = "doc_id", ids: str = "ids", path: str = TokenizerParams.path, keep: tuple[str, ...] = ()) -> DataFrame:
+    """key, the columns of `keep`, text: ids back to text. The table of pieces has a fixed size, so it meets the ids inside each row, by number,
+    without a shuffle. Bytes that are no UTF-8 become U+FFFD; null ids give null, an unknown id gives nothing."""
+    types = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in (key, *keep)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = piece_table(path)
         for b in sliced(batches):
             out = [None if v is None else b"".join([pieces[i] for i in v if 0 <= i < len(pieces)]).decode("utf-8", "replace") for v in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], [key, "text"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(out, pa.string())], [key, *keep, "text"])
 
-    return rows.select(key, ids).mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, text string")
+    own = rows.select(F.col(key), F.col(ids).alias("_ids"), *keep)
+    return own.mapInArrow(run, ", ".join([*types, "text string"]))

@@ -84,7 +84,7 @@ def test_best_fill_against_all_subsets(items, room):
     from itertools import combinations
 
     c = Counter(items)
-    got = packing.best_fill(sorted(c.items(), reverse=True), room)
+    got = packing.best_fill(packing.Left(np.array(list(c)), np.array(list(c.values()))), {}, room)
     assert all(got[k] <= c[k] for k in got)
     best = max((s for k in range(len(items) + 1) for x in combinations(items, k) if (s := sum(x)) <= room), default=0)
     assert sum(k * v for k, v in got.items()) == best
@@ -112,3 +112,39 @@ def test_packed_is_valid_and_tight(spark):
     report = {r["pack_name"]: r for r in packing.fill_report(packing.packed(items, packs), packs).collect()}
     assert set(report) == {"a", "b"} and report["b"]["unused"] < 0.02
     assert packing.packed(items.limit(0), packs).count() == 0
+    valid = {r["pack_name"]: r for r in packing.validity(packing.packed(items, packs), items, packs, slack=0.02).collect()}
+    assert set(valid) == {"a", "b"} and all(r["items"] == len([n for _, n in rows if n]) and r["whole"] and r["fits"] and r["tight"] for r in valid.values())
+
+
+def test_validity_sees_what_is_wrong(spark):
+    items = spark.createDataFrame([(1, 6), (2, 5), (3, 12)], "doc_id bigint, n_tokens bigint")
+    packs = spark.createDataFrame([("a", 10)], "pack_name string, capacity int")
+    right = [("a", 0, 3, 0, 0, 10), ("a", 1, 1, 0, 0, 6), ("a", 1, 3, 1, 10, 2), ("a", 2, 2, 0, 0, 5)]
+    check = lambda rows: packing.validity(spark.createDataFrame(rows, "pack_name string, container bigint, doc_id bigint, piece int, token_start bigint, n bigint"), items, packs).select("items", "whole", "fits").first()
+    assert tuple(check(right)) == (3, True, True)
+    assert tuple(check(right[:-1])) == (2, False, True)
+    assert tuple(check([*right, right[-1]])) == (3, False, True)
+    assert tuple(check([*right[:-1], ("a", 1, 2, 0, 0, 5)])) == (3, True, False)
+
+
+def test_a_long_item_fills_containers_of_its_own(spark):
+    """Full pieces need no plan: one item of a hundred thousand of them, and others, in every container once."""
+    items = spark.createDataFrame([(1, 1_000_003), (2, 20), (3, 20), (3, 20), (4, 7)], "doc_id bigint, n_tokens bigint")
+    packs = spark.createDataFrame([("a", 10)], "pack_name string, capacity int")
+    got = packing.packed(items, packs)
+    r = got.selectExpr("count(*)", "count(distinct container)", "min(container)", "max(container)").first()
+    assert tuple(r) == (100_000 + 1 + 6 + 1, 100_007, 0, 100_006)
+    assert tuple(packing.validity(got, items, packs).select("items", "whole", "fits", "tight").first()) == (4, True, True, True)
+
+
+def test_plans_of_large_capacities_end_soon():
+    import time
+
+    rng = np.random.default_rng(0)
+    for capacity, items in ((8192, 200_000), (131_072, 400_000)):
+        lengths, counts = np.unique(rng.integers(1, capacity, items), return_counts=True)
+        t = time.perf_counter()
+        rows = list(packing.fill_plan(lengths, counts, capacity))
+        assert time.perf_counter() - t < 30
+        containers = max(c + (last - first) // uses for _, first, last, c, uses in rows)
+        assert containers <= 1.01 * (lengths * counts).sum() / capacity and sum(last - first for _, first, last, _, _ in rows) == items
