@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chalkline.llm.store import most_frequent, saved, sliced
+from chalkline.llm.store import most_frequent, saved, sliced, written
 
 #: White space by Unicode; the set has not changed for many versions of the standard, unlike the letters.
 BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -139,8 +139,9 @@ def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", p: Tokeniz
 
     kind = docs.schema[key].dataType.simpleString()
     keyed = rows.select("_k", F.xxhash64("_t").alias("_h"), "_t")
-    placed = keyed.mapInArrow(place, f"_k {kind}, _h bigint, _i array<int>, _w array<string>")
-    rest = placed.filter(F.size("_w") > 0).select("_k", "_h", F.posexplode("_w").alias("_p", "word"))
+    placed = written(keyed.mapInArrow(place, f"_k {kind}, _h bigint, _i array<int>, _w array<string>").withColumn("_more", F.size("_w") > 0))
+    open_ = placed.filter("_more")  # only texts with other words are shuffled
+    rest = open_.select("_k", "_h", F.posexplode("_w").alias("_p", "word"))
     found = rest.join(table.select("word", "ids"), "word").groupBy("_k", "_h").agg(F.array_sort(F.collect_set(F.struct("_p", "ids"))).alias("_f"))
     found = found.select(F.col("_k").alias("_k2"), F.col("_h").alias("_h2"), F.col("_f.ids").alias("_f"))
 
@@ -160,8 +161,9 @@ def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", p: Tokeniz
                 lengths.append(len(a))
             yield pa.RecordBatch.from_arrays([b.column(0), _list(pa.array(np.concatenate(out) if out else [], pa.int32()), np.array(lengths, np.int64))], [key, "ids"])
 
-    joined = placed.select("_k", "_h", "_i").join(found, F.col("_k").eqNullSafe(F.col("_k2")) & (F.col("_h") == F.col("_h2")), "left")
-    return joined.select("_k", "_i", "_f").mapInArrow(splice, f"`{key}` {kind}, ids array<int>")
+    joined = open_.select("_k", "_h", "_i").join(found, F.col("_k").eqNullSafe(F.col("_k2")) & (F.col("_h") == F.col("_h2")))
+    done = placed.filter("NOT _more").select(F.col("_k").alias(key), F.col("_i").alias("ids"))
+    return joined.select("_k", "_i", "_f").mapInArrow(splice, f"`{key}` {kind}, ids array<int>").unionByName(done)
 
 
 def sizes(docs: DataFrame, key: str = "doc_id", text: str = "text", p: TokenizerParams = TokenizerParams()) -> DataFrame:
@@ -185,7 +187,7 @@ def sizes(docs: DataFrame, key: str = "doc_id", text: str = "text", p: Tokenizer
                 ["_k", "_n", "_w"],
             )
 
-    placed = rows.mapInArrow(place, f"_k {kind}, _n bigint, _w array<string>")
+    placed = written(rows.mapInArrow(place, f"_k {kind}, _n bigint, _w array<string>"))
     rest = placed.filter(F.size("_w") > 0).select("_k", F.explode("_w").alias("word"))
     more = rest.join(table.select("word", F.size("ids").cast("bigint").alias("_n")), "word").select("_k", "_n")
     return placed.select("_k", "_n").unionByName(more).groupBy("_k").agg(F.sum("_n").alias("n_tokens")).withColumnRenamed("_k", key)
