@@ -5,14 +5,15 @@ misreading (o as 0, m as rn) changes it by a fixed difference, so rare words mee
 whatever the place of the error. The best-ranked variant is the correction. Words run together are found as two frequent words in one. Hyphens at
 line ends are judged by whether the joined or the hyphenated form is known, and running headers and page numbers by their form at the edge of a
 line. Halves of split words and cut-off words grow in number with the corpus, so they are told by how much more frequent the whole word is. All
-joins are on distinct words, of which a corpus has few; the most frequent ones (a fixed number) are broadcast to the texts, the rest travel as
-(text, word) and meet the tables of corrections and of known words in a shuffled join.
+joins are on distinct words, of which a corpus has few; the most frequent ones (a fixed number) are broadcast to the texts. If there are more, each
+text asks for the facts that it could need (known words, corrections, split words, beginnings) in a shuffled join, so the results are the same
+whatever the size of the broadcast part.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import ChainMap, Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -171,29 +172,66 @@ def _pair(a: str, b: str) -> tuple[str, str] | None:
     return a.lower(), b.lower()
 
 
+class Halves:
+    """Counts neighbouring tokens that could be halves, as `_pair` has it, by the numbers of their forms."""
+
+    MOST = 400_000
+
+    def __init__(self) -> None:
+        self.of: dict[str, int] = {}
+        self.forms: dict[str, int] = {}
+        self.cols: list[tuple[int, int, int]] = []  # by token: number of the form as first and as second half or -1, length with the case of the second
+        self.held: list[np.ndarray] = []
+        self.n = 0
+
+    def add(self, t: str) -> int:
+        form = lambda x: self.forms.setdefault(x.lower(), len(self.forms))
+        b = t.rstrip(EDGE)
+        first = form(t) if t.isalpha() and (t[1:].islower() or len(t) == 1 or t.isupper()) else -1
+        second = form(b) if b.isalpha() and (b.isupper() or b.islower()) else -1
+        self.of[t] = n = len(self.cols)
+        self.cols.append((first, second, len(t) | (t.isupper() and len(t) > 1) << 20 | b.isupper() << 21 | len(b) << 32))
+        return n
+
+    def count(self, texts: list) -> None:
+        get, add, codes, ends = self.of.get, self.add, [], []
+        for t in texts:
+            if t:
+                codes += [n if (n := get(w)) is not None else add(w) for w in t.split()]
+                ends.append(len(codes))
+        if len(codes) < 2:
+            return
+        code = np.array(codes)
+        col = np.array(self.cols, np.int64)
+        first, second, bits = col[code[:-1], 0], col[code[1:], 1], col[:, 2]
+        a, b = bits[code[:-1]], bits[code[1:]]
+        ok = (first >= 0) & (second >= 0) & (((b >> 21 & 1) == 0) | ((a >> 20 & 1) == 1)) & ((a & 0xFFFFF) + (b >> 32) >= 5)
+        ok[np.array(ends[:-1], np.int64) - 1] = False  # not from one text to the next
+        self.held.append(np.stack(np.unique(first[ok] << 32 | second[ok], return_counts=True)))
+        self.n += self.held[-1].shape[1]
+
+    def taken(self) -> pa.RecordBatch:
+        """The counts so far; starts anew."""
+        keys, place = np.unique(np.concatenate([h[0] for h in self.held] or [np.zeros(0, np.int64)]), return_inverse=True)
+        n = np.bincount(place, np.concatenate([h[1] for h in self.held] or [np.zeros(0)]), len(keys)).astype(np.int64)
+        words = pa.array(list(self.forms), pa.string())
+        out = pa.RecordBatch.from_arrays([words.take(pa.array(keys >> 32)), words.take(pa.array(keys & 0xFFFFFFFF)), pa.array(n)], ["a", "b", "n"])
+        self.__init__()
+        return out
+
+
 def splits(rows: DataFrame, words: DataFrame, fixes: DataFrame, p: ScanParams = ScanParams(), text: str = "text") -> DataFrame:
     """a, b: neighbouring words that are one split word, as the joined form is known and glue_ratio times as frequent as the pair. Pairs are
     counted a batch at a time first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(held: Counter) -> pa.RecordBatch:
-            by: Counter = Counter()
-            for (a, b), n in held.items():
-                if ab := _pair(a, b):
-                    by[ab] += n
-            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in by], pa.string()), pa.array([b for _, b in by], pa.string()), pa.array(by.values(), pa.int64())], ["a", "b", "n"])
-
-        held: Counter = Counter()
+        halves = Halves()
         for b in sliced(batches):
-            for t in b.column(0).to_pylist():
-                if t:
-                    toks = t.split()
-                    held.update(zip(toks, toks[1:]))
-            if len(held) > 400_000:
-                yield out(held)
-                held = Counter()
-        if held:
-            yield out(held)
+            halves.count(b.column(0).to_pylist())
+            if max(halves.n, len(halves.of)) > Halves.MOST:
+                yield halves.taken()
+        if halves.n:
+            yield halves.taken()
 
     whole = words.filter((F.col("low") >= p.frequent) & F.col("word").rlike(PLAIN.pattern)).join(fixes.select("word"), "word", "left_anti").select("word", "low")
     pairs = rows.select(text).mapInArrow(count, "a string, b string, n bigint").withColumn("word", F.concat("a", "b"))
@@ -211,6 +249,8 @@ def _has(ms: tuple[str, ...]):
 # --- the texts -----------------------------------------------------------------------------------------------------------------------
 
 FINE, BAD, HYPHEN, RARE, OPEN, GLUE, FIRST = range(7)
+#: Bit of a state: a word in capitals that is no model's name.
+CAPITAL = 8
 
 
 class Lexicon:
@@ -224,16 +264,16 @@ class Lexicon:
         self.states: dict[str, int] = {}
         self.begins: set[str] | None = None
 
-    def knowing(self, facts: list[str] | None) -> Lexicon:
+    def knowing(self, facts: list[dict] | None) -> Lexicon:
         """This lexicon, for one text, with facts that are not in the broadcast part."""
-        return Wider(self, set(facts)) if facts else self
+        return Wider(self, {f["fact"]: f["value"] for f in facts}) if facts else self
 
     def state(self, t: str) -> int:
         s = self.states.get(t)
         if s is None:
             if len(self.states) > self.MOST:
                 self.states.clear()
-            s = self.states[t] = self._state(t)
+            s = self.states[t] = self._state(t) | CAPITAL * bool(PURE.match(t))
         return s
 
     def _state(self, t: str) -> int:
@@ -278,11 +318,12 @@ class Either:
 
 
 class Wider(Lexicon):
-    """A lexicon with facts for one text: known words, halves of split words ('a b') and beginnings of known words ('a*')."""
+    """A lexicon with facts for one text: known words, halves of split words ('a b'), beginnings of known words ('a*') and corrections ('a!')."""
 
-    def __init__(self, base: Lexicon, facts: set[str]) -> None:
+    def __init__(self, base: Lexicon, facts: dict[str, str | None]) -> None:
         pairs = {tuple(f.split(" ")) for f in facts if " " in f}
-        self.base, self.facts, self.fixes, self.states = base, facts, base.fixes, {}
+        self.base, self.facts, self.states = base, facts, {}
+        self.fixes = ChainMap({f[:-1]: v for f, v in facts.items() if f[-1] == "!"}, base.fixes)
         self.good, self.splits, self.firsts = Either(base.good, facts), Either(base.splits, pairs), Either(base.firsts, {a for a, _ in pairs})
 
     def cut(self, c: str) -> bool:
@@ -299,8 +340,8 @@ def asked(text: str, lex: Lexicon) -> set[str]:
             bare, c = a.rstrip(EDGE), core(a)
             low = {a.lower(), bare.lower(), bare.lstrip("\"'(").lower()}
             if c:
-                low |= {c, lex.fixes.get(c, c)}
-                out.add(c + "*")
+                low.add(c)
+                out |= {c + "*", c + "!"}
             if a[0] == "(":
                 out |= {a[1:].rstrip(EDGE), "c" + a[1:].rstrip(EDGE)}
             if m := PUNCT_GLUE.match(bare):
@@ -333,10 +374,11 @@ def joins(a: str, b: str, lex: Lexicon) -> bool:
     return h != "-" or lex.known(w1 + w2) or not lex.known(w1)
 
 
-def headers(text: str) -> list[tuple[int, int]]:
-    """Spans of running headers and page numbers inside a text. A pattern runs only where its fixed part occurs."""
+def headers(text: str, capitals: bool = True) -> list[tuple[int, int]]:
+    """Spans of running headers and page numbers inside a text. A pattern runs only where its fixed part occurs. capitals: whether there may be two
+    words in capitals."""
     spans = [m.span() for mark, pattern in HEADERS if any(x in text for x in mark) for m in pattern.finditer(text) if not (m[0].strip().isdigit() and YEAR_LINE.search(text[max(0, m.start() - 20) : m.end()]))]
-    if TWO_CAPITALS.search(text) and (found := [m.span() for m in CAPITALS.finditer(text) if len(PURE.findall(m[0])) >= 2]):
+    if capitals and TWO_CAPITALS.search(text) and (found := [m.span() for m in CAPITALS.finditer(text) if len(PURE.findall(m[0])) >= 2]):
         if len(UPPER.findall(text)) < 0.4 * len(LETTER.findall(text)):
             spans += found
     if "\n" in text:
@@ -349,26 +391,30 @@ def headers(text: str) -> list[tuple[int, int]]:
     return spans
 
 
-def damage(text: str, lex: Lexicon) -> tuple[int, list[str]]:
-    """(places where the text itself shows damage, its rare words). Broken, misread, split, run-together and cut-off words, headers, ligatures."""
+def damage(text: str, lex: Lexicon) -> int:
+    """Places where the text shows damage: broken, misread, split, run-together and cut-off words, headers, ligatures."""
     toks = text.split()
     get, state = lex.states.get, lex.state
     states = [s if (s := get(t)) is not None else state(t) for t in toks]
-    found = len(headers(text)) + len(LIGATURE.findall(text))
-    rare: list[str] = []
+    found = capitals = 0
     last = len(toks) - 1
     for i, s in enumerate(states):
         if not s:
             continue
+        if s & CAPITAL:
+            capitals += 1
+            s &= ~CAPITAL
+        if s == FINE:
+            continue
         if s == HYPHEN:
             found += joins(toks[i], toks[i + 1], lex) if i < last else toks[i][-1] != "-" or not lex.known(toks[i][:-1].lower())
         elif s == FIRST:
-            found += i < last and states[i + 1] in (FINE, FIRST) and lex.split(toks[i], toks[i + 1])
+            found += i < last and states[i + 1] & ~CAPITAL in (FINE, FIRST) and lex.split(toks[i], toks[i + 1])
         elif s == OPEN:
             found += not any(")" in t for t in toks[i : i + 14])
         elif s == RARE:
             c = core(toks[i])
-            if i and states[i - 1] == HYPHEN:
+            if i and states[i - 1] & ~CAPITAL == HYPHEN:
                 continue
             upper = toks[i].isupper() and len(c) > 1
             own = (toks[i][0].islower() or upper) and c.isalpha()
@@ -377,11 +423,9 @@ def damage(text: str, lex: Lexicon) -> tuple[int, list[str]]:
                 found += 1
             elif own and len(c) >= 4 and toks[i][-1].isalpha() and lex.cut(c):
                 found += 1
-            else:
-                rare.append(c)
         else:
             found += 1
-    return found, rare
+    return found + len(headers(text, capitals >= 2)) + (0 if text.isascii() else len(LIGATURE.findall(text)))
 
 
 def _known(words: DataFrame, fixes: DataFrame, p: ScanParams) -> DataFrame:
@@ -398,13 +442,12 @@ def _hot(words: DataFrame, fixes: DataFrame, p: ScanParams) -> tuple[set[str], d
 
 @dataclass(frozen=True)
 class Noise:
-    """What the corpus says: words, corrections, and the hot part of both as a broadcast."""
+    """What the corpus says: words, corrections, and the hot part of what is known as a broadcast."""
 
     words: DataFrame
     fixes: DataFrame
     hot: object
-    rest: bool  # whether some corrections are not in the hot part
-    more: DataFrame | None = None  # fact: known words, split words and beginnings, if some are not in the hot part
+    more: DataFrame | None = None  # fact, value: known words, split words, beginnings and corrections, if some are not in the hot part
 
 
 def learned(rows: DataFrame, text: str = "text", p: ScanParams = ScanParams()) -> Noise:
@@ -414,21 +457,22 @@ def learned(rows: DataFrame, text: str = "text", p: ScanParams = ScanParams()) -
     pairs = saved(splits(rows, words, fixes, p, text))
     good, hot_fix = _hot(words, fixes, p)
     known = saved(_known(words, fixes, p))
-    own = frozenset((r["a"], r["b"]) for r in pairs.collect()) if (few := pairs.count() <= p.hot) else frozenset()
+    own = frozenset((r["a"], r["b"]) for r in pairs.collect()) if (few := pairs.limit(p.hot + 1).count() <= p.hot) else frozenset()
     more = None
-    if known.count() > len(good) or not few:
+    if known.count() > len(good) or fixes.count() > len(hot_fix) or not few:
         begins = known.select(F.col("word"), F.explode(F.expr("sequence(4, greatest(4, length(word) - 1))")).alias("_i")).filter(F.length("word") > F.col("_i"))
-        more = known.select(F.col("word").alias("fact")).unionByName(pairs.select(F.concat_ws(" ", "a", "b").alias("fact")))
-        more = saved(more.unionByName(begins.select(F.expr("concat(substring(word, 1, _i), '*')").alias("fact"))).distinct())
-    return Noise(words, fixes, rows.sparkSession.sparkContext.broadcast((good, hot_fix, own)), fixes.count() > len(hot_fix), more)
+        facts = known.select(F.col("word").alias("fact")).unionByName(pairs.select(F.concat_ws(" ", "a", "b").alias("fact")))
+        facts = facts.unionByName(begins.select(F.expr("concat(substring(word, 1, _i), '*')").alias("fact")).distinct()).withColumn("value", F.lit(None).cast("string"))
+        more = saved(facts.unionByName(fixes.select(F.concat("word", F.lit("!")).alias("fact"), F.col("fix").alias("value"))))
+    return Noise(words, fixes, rows.sparkSession.sparkContext.broadcast((good, hot_fix, own)), more)
 
 
 def _informed(rows: DataFrame, noise: Noise, key: str, text: str) -> DataFrame:
     """key, text, and _x: the facts each text asks for and that are not in the broadcast part; null if all are. Only then do texts shuffle. A
-    repeated key has the facts of all its rows."""
+    repeated key has the facts of all its rows, which say nothing wrong about any of them."""
     rows = rows.select(key, text)
     if noise.more is None:
-        return rows.withColumn("_x", F.lit(None).cast("array<string>"))
+        return rows.withColumn("_x", F.lit(None).cast("array<struct<fact:string,value:string>>"))
     kind, hot = rows.schema[key].dataType.simpleString(), noise.hot
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -437,48 +481,33 @@ def _informed(rows: DataFrame, noise: Noise, key: str, text: str) -> DataFrame:
             got = [(k, f) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if t for f in asked(t, lex)]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], b.column(0).type), pa.array([f for _, f in got], pa.string())], ["_k", "fact"])
 
-    facts = rows.mapInArrow(ask, f"_k {kind}, fact string").join(noise.more, "fact").groupBy("_k").agg(F.collect_set("fact").alias("_x"))
+    facts = rows.mapInArrow(ask, f"_k {kind}, fact string").join(noise.more, "fact").groupBy("_k").agg(F.collect_set(F.struct("fact", "value")).alias("_x"))
     return rows.join(facts, F.col(key).eqNullSafe(F.col("_k")), "left").select(key, text, "_x")
 
 
-def evidence(rows: DataFrame, noise: Noise, key: str = "chunk_ord", text: str = "text", q: prose.ProseParams = prose.ProseParams()) -> DataFrame:
-    """key, places, is_prose, rare: what each text shows by itself, and its words that are not in the hot part. Null and blank texts show nothing.
-    Whether it is prose is only worked out where there is something to show."""
+def _places(b: pa.RecordBatch, lex: Lexicon, known: prose.Words, q: prose.ProseParams) -> np.ndarray:
+    """Damaged places of each text (second column, facts in the third); 0 for texts that are not prose. Whether a text is prose is only worked out
+    where there is something to show."""
+    texts = b.column(1).to_pylist()
+    n = np.array([damage(t, lex.knowing(x)) if t else 0 for t, x in zip(texts, b.column(2).to_pylist())], np.int64)
+    some = np.flatnonzero(n)
+    stats = prose.batch_stats([texts[i] for i in some], known, q)
+    n[some[stats["prose_words"] < q.prose_share * np.maximum(stats["n_counted"], 1)]] = 0
+    return n
+
+
+def damaged(rows: DataFrame, noise: Noise, key: str = "chunk_ord", text: str = "text", q: prose.ProseParams = prose.ProseParams()) -> DataFrame:
+    """key, places: prose texts with scan damage and the number of damaged places. Texts that are not prose, null and blank ones are left out. A
+    repeated key gives one row with the sum."""
     kind = rows.schema[key].dataType.simpleString()
-    hot, travels = noise.hot, noise.rest
+    hot = noise.hot
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex, known = Lexicon(*hot.value), prose.Words()
         for b in sliced(batches):
-            texts = b.column(1).to_pylist()
-            got = [damage(t, lex.knowing(x)) if t else (0, []) for t, x in zip(texts, b.column(2).to_pylist())]
-            some = [i for i, (n, r) in enumerate(got) if n or r and travels]
-            stats = prose.batch_stats([texts[i] for i in some], known, q)
-            is_prose = np.zeros(len(texts), bool)
-            is_prose[some] = stats["prose_words"] >= q.prose_share * np.maximum(stats["n_counted"], 1)
-            rare = [sorted(set(r)) if travels and is_prose[i] else [] for i, (_, r) in enumerate(got)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for n, _ in got], pa.int32()), pa.array(is_prose), pa.array(rare, pa.list_(pa.string()))], [key, "places", "is_prose", "rare"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_places(b, lex, known, q))], [key, "places"])
 
-    return _informed(rows, noise, key, text).mapInArrow(run, f"`{key}` {kind}, places int, is_prose boolean, rare array<string>")
-
-
-def _met(seen: DataFrame, noise: Noise, key: str) -> DataFrame:
-    """key, places, word, fix: one row for the text's own places (word null), one for each rare word that has a correction. The texts' rare words
-    travel only if some corrections are not in the broadcast part; rows without a word are spread by their key."""
-    own = F.struct(F.lit(None).cast("string").alias("word"), F.col("places").cast("bigint").alias("places"))
-    if not noise.rest:
-        return seen.filter(F.col("places") > 0).select(key, F.col("places").cast("bigint").alias("places"), F.lit(None).cast("string").alias("word"), F.lit(None).cast("string").alias("fix"))
-    items = F.concat(F.when(F.col("places") > 0, F.array(own)).otherwise(F.array().cast("array<struct<word:string,places:bigint>>")), F.transform("rare", lambda w: F.struct(w.alias("word"), F.lit(1).cast("bigint").alias("places"))))
-    out = seen.select(key, F.explode(items).alias("_i")).select(key, "_i.word", "_i.places")
-    at = F.coalesce("word", F.concat(F.lit("\t"), F.pmod(F.hash(key), F.lit(1024)).cast("string")))
-    fixes = noise.fixes.select(F.col("word").alias("_w"), "fix")
-    return out.join(fixes, at == F.col("_w"), "left").filter(F.col("word").isNull() | F.col("fix").isNotNull()).select(key, "places", "word", "fix")
-
-
-def damaged(rows: DataFrame, noise: Noise, key: str = "chunk_ord", text: str = "text") -> DataFrame:
-    """key, places: prose texts with scan damage and the number of damaged places. Texts that are not prose are left out. A repeated key gives
-    one row with the sum."""
-    return _met(evidence(rows, noise, key, text).filter("is_prose"), noise, key).groupBy(key).agg(F.sum("places").alias("places"))
+    return _informed(rows, noise, key, text).mapInArrow(run, f"`{key}` {kind}, places bigint").filter("places > 0").groupBy(key).agg(F.sum("places").alias("places"))
 
 
 # --- repair --------------------------------------------------------------------------------------------------------------------------
@@ -501,7 +530,7 @@ def _headless(text: str) -> str:
     return text
 
 
-def repaired_text(text: str, lex: Lexicon, more: dict[str, str]) -> str:
+def repaired_text(text: str, lex: Lexicon) -> str:
     """The text as continuous paragraphs: headers out, broken words joined, misread, run-together and split words put right."""
     text = _headless(text)
     text = LIGATURE.sub(lambda m: LIGATURES[m[0]], text)
@@ -510,21 +539,19 @@ def repaired_text(text: str, lex: Lexicon, more: dict[str, str]) -> str:
 
     def word(m: re.Match) -> str:
         t = m[0]
-        s = lex.state(t)
+        s = lex.state(t) & ~CAPITAL
         if s == OPEN and ")" not in text[m.end() : m.end() + 80]:
             return "c" + t[1:]
         if s == GLUE:
             g = PUNCT_GLUE.match(t.rstrip(EDGE)) or DIGIT_GLUE.match(t.rstrip(EDGE))
             at = g.end(2) if g.lastindex == 3 else g.end(1)
             return t[:at] + " " + t[at:]
-        if s in (BAD, RARE):
+        if s == BAD:
             c = core(t)
-            fix = fixes.get(c) or more.get(c)
-            if fix:
-                at = t.lower().find(c)
-                if t[at : at + 1].isupper():
-                    fix = fix.upper() if t.isupper() and len(c) > 1 else fix[0].upper() + fix[1:]
-                return t[:at] + fix + t[at + len(c) :]
+            fix, at = fixes[c], t.lower().find(c)
+            if t[at : at + 1].isupper():
+                fix = fix.upper() if t.isupper() and len(c) > 1 else fix[0].upper() + fix[1:]
+            return t[:at] + fix + t[at + len(c) :]
         return t
 
     text = re.sub(r"\S+", word, text)
@@ -548,21 +575,19 @@ def repaired_text(text: str, lex: Lexicon, more: dict[str, str]) -> str:
     return "\n\n".join(x for x in out if x)
 
 
-def repaired(rows: DataFrame, noise: Noise, key: str = "chunk_ord", text: str = "text") -> DataFrame:
-    """key, clean_text, changed for every row. Sound texts, texts that are not prose, null and blank ones come out unchanged. Only the keys and
-    corrections of damaged texts meet the texts again, in one shuffle by key; a repeated key with different texts is repaired by the corrections
-    of all its rows, which only replace words it has."""
+def repaired(rows: DataFrame, noise: Noise, key: str = "chunk_ord", text: str = "text", q: prose.ProseParams = prose.ProseParams()) -> DataFrame:
+    """key, clean_text, changed, one row per row. Sound texts, texts that are not prose, null and blank ones come out unchanged; each text is judged
+    and repaired in the same pass."""
     kind = rows.schema[key].dataType.simpleString()
-    todo = _met(evidence(rows, noise, key, text).filter("is_prose"), noise, key)
-    todo = todo.groupBy(key).agg(F.collect_set(F.struct("word", "fix")).alias("_f")).withColumnRenamed(key, "_key")
     hot = noise.hot
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex = Lexicon(*hot.value)
+        lex, known = Lexicon(*hot.value), prose.Words()
         for b in sliced(batches):
-            old = b.column(1).to_pylist()
-            new = [t if f is None or not t else repaired_text(t, lex.knowing(k), {x["word"]: x["fix"] for x in f if x["word"]}) for t, k, f in zip(old, b.column(2).to_pylist(), b.column(3).to_pylist())]
+            old, new = b.column(1).to_pylist(), b.column(1).to_pylist()
+            facts = b.column(2).to_pylist()
+            for i in np.flatnonzero(_places(b, lex, known, q)):
+                new[i] = repaired_text(old[i], lex.knowing(facts[i]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(new, pa.string()), pa.array([x != y for x, y in zip(old, new)])], [key, "clean_text", "changed"])
 
-    joined = _informed(rows, noise, key, text).join(todo, F.col(key) == F.col("_key"), "left").select(key, text, "_x", "_f")
-    return joined.mapInArrow(run, f"`{key}` {kind}, clean_text string, changed boolean")
+    return _informed(rows, noise, key, text).mapInArrow(run, f"`{key}` {kind}, clean_text string, changed boolean")

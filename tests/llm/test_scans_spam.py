@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 
@@ -164,6 +165,29 @@ def test_known_words_beyond_the_broadcast_part_count_too(spark, hot):
     assert got == {1000 + i: want + TAIL for i, want in enumerate(DAMAGED.values())}
 
 
+def test_results_do_not_depend_on_the_broadcast_part(spark):
+    """Keys and numbers of places, on the delivered chunks, whether all, some or hardly any known words are broadcast."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/chunks_norm.parquet")
+    got = []
+    for hot in (131_072, 300, 3):
+        noise = scans.learned(rows, p=scans.ScanParams(hot=hot))
+        got.append((sorted(map(tuple, scans.damaged(rows, noise).collect())), sorted(map(tuple, scans.repaired(rows, noise).filter("changed").collect()))))
+    assert got[0] == got[1] == got[2] and got[0][0] and got[0][1]
+
+
+def test_pairs_by_numbers_are_the_pairs_of_tokens():
+    rng = random.Random(2)
+    tokens = ["re", "turned", "Re", "TURN", "ED", "a", "A", "tra", "nsport,", "co2", "(the", "it.", "x-y", "Éta", "été", "42"]
+    texts = [None, "", "alone", *(" ".join(rng.choice(tokens) for _ in range(rng.randint(1, 40))) for _ in range(60))]
+    want = Counter(ab for t in texts if t for ab in map(scans._pair, t.split(), t.split()[1:]) if ab)
+    halves = scans.Halves()
+    for i in range(0, len(texts), 7):
+        halves.count(texts[i : i + 7])
+    rows = halves.taken()
+    assert {(a, b): n for a, b, n in zip(*(c.to_pylist() for c in rows.columns))} == dict(want)
+    assert halves.taken().num_rows == 0
+
+
 def _one_spam(spark, page):
     rows = [(i, PROSE + f" It was run {i} of the set.") for i in range(200)] + [(1000, page)]
     found = spam.judged(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(COMMON, "lang string, word string"))
