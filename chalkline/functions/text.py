@@ -162,6 +162,29 @@ def text_flag(value: Column) -> Column:
     return F.when(v.isin("1", "true", "yes", "relevant"), 1).when(v.isin("0", "false", "no", "irrelevant"), 0)
 
 
+#: From LaTeX to text, in order: comments, what shows nothing, marks that stand for signs, commands by their arguments from the inside out, the rest.
+TEX_STEPS = (
+    (r"(^|[^\\])%[^\n]*", "$1"),
+    (r"\\(?:cite[a-z]*|label|ref|eqref|includegraphics|bibliography(?:style)?|usepackage|documentclass|vspace|hspace|input)\*?(?:\[[^\[\]]*\])*\{[^{}]*\}", " "),
+    (r"\\(?:begin|end)\{[^{}]*\}(?:\[[^\[\]]*\])?", "\n"),
+    (r"\\(?:par|item|newline|linebreak)\b|\\\\", "\n"),
+    *((r"\\[A-Za-z]+\*?(?:\[[^\[\]]*\])?\{([^{}]*)\}", "$1"),) * 3,
+    (r"\\([%&_#$])", "$1"),
+    (r"\\[A-Za-z]+\*?|\\[,;:!]", " "),
+    (r"[{}$]", ""),
+    ("~", " "),
+    (r"[ \t]+", " "),
+    (r" ?\n[ \n]*", "\n"),
+)
+
+
+def plain_tex(tex: Column) -> Column:
+    """Text of a LaTeX source without an external converter: arguments up to three commands deep stay, layout and references go. Null stays null."""
+    for pattern, to in TEX_STEPS:
+        tex = F.regexp_replace(tex, pattern, to)
+    return strip(tex)
+
+
 #: From an HTML page to text, in order: what is no text, breaks, other tags, named signs; blanks come last.
 PAGE_STEPS = (
     (r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>", " "),

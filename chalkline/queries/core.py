@@ -109,6 +109,21 @@ def src04_jon03_enrich_defaults(t):
     return corpus.enriched(t("candidates"), t("enrichment")).select("arxiv_id", "s2_found", "s2_citations", "s2_tldr")
 
 
+TEX = r"'\documentclass[a]{b} \section{Data} \textbf{We \emph{see}} it~\cite{x1} at 5\% % note' || chr(10) || text || ' \begin{itemize} \item one \end{itemize} $x_1$'"
+
+
+def sql_tex(x: str) -> str:
+    for pattern, to in text.TEX_STEPS:
+        x = f"regexp_replace({x}, {_str(pattern)}, {'chr(10)' if to == chr(10) else _str(to.replace('$1', chr(92) + '1'))}, 'g')"
+    return sql_strip(x)
+
+
+@R.add(f"SELECT chunk_ord, md5({sql_tex(TEX)}) AS text FROM chunks_norm")
+def src08_plain_tex(t):
+    tex = F.concat(F.lit("\\documentclass[a]{b} \\section{Data} \\textbf{We \\emph{see}} it~\\cite{x1} at 5\\% % note\n"), "text", F.lit(" \\begin{itemize} \\item one \\end{itemize} $x_1$"))
+    return t("chunks_norm").select("chunk_ord", F.md5(text.plain_tex(tex)).alias("text"))
+
+
 @R.add(
     "SELECT chunk_ord, CASE WHEN source = 'latex' AND text IS NOT NULL THEN 'latex' WHEN source = 'pdf' AND text IS NOT NULL THEN 'pdf' ELSE 'failed' END AS kind, "
     "CASE WHEN source IN ('latex', 'pdf') THEN text END AS body FROM chunks_norm"
@@ -332,17 +347,28 @@ def prj19_flag(t):
     return t("questions").select("question_id", "created_at", text.text_flag(w).alias("flag"), reply.json_flag(nested).alias("flag_in_dict"))
 
 
-@R.add("SELECT question_id, created_at, CASE WHEN length(question) % 3 = 0 THEN [1, 0] WHEN length(question) % 3 = 1 THEN [1, 0, 1] END AS bits FROM questions")
+FLAGS = "list_transform(range(0, length(question) % 7), lambda i: ((length(question) + 3 * i) % 4)::INT)"
+
+
+@R.add(
+    f"WITH b AS (SELECT question_id, created_at, list_filter(list_transform({FLAGS}, lambda x: CASE WHEN x < 3 THEN (x % 2)::INT END), lambda x: x IS NOT NULL) AS bits FROM questions) "
+    "SELECT question_id, created_at, CASE WHEN len(bits) > 0 THEN bits END AS bits FROM b"
+)
 def prj20_flags(t):
-    k = F.length("question") % 3
-    text_ = F.when(k == 0, '{"other": "x", "list": ["yes", "no", "maybe"]}').when(k == 1, '[true, {"score": 0}, 0.5]').otherwise('{"relevant": []}')
-    return t("questions").select("question_id", "created_at", reply.json_flags(text_).alias("bits"))
+    """A list of words, numbers, nested verdicts and what is neither, made from the question's length."""
+    n = F.length("question")
+    each = F.transform(F.when(n % 7 > 0, F.sequence(F.lit(0), n % 7 - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.element_at(F.array(*map(F.lit, ("0", '{"verdict": {"label": " Yes"}}', '"irrelevant"', '"perhaps"'))), (n + 3 * i) % 4 + 1))
+    said = F.concat(F.lit('{"note": "x", "relevant": ['), F.array_join(each, ", "), F.lit("]}"))
+    return t("questions").select("question_id", "created_at", reply.json_flags(said).alias("bits"))
 
 
-@R.add("""SELECT question_id, created_at, '{"a": {"b": ' || length(question) || '}, "c": "}\\""}' AS value FROM questions""")
+@R.add("""SELECT question_id, created_at, length(question)::BIGINT AS n, question AS said FROM questions""")
 def prj21_json_block(t):
-    said = F.concat(F.lit('As in [1], {"old": 1}: ```json\n{"a": {"b": '), F.length("question").cast("string"), F.lit('}, "c": "}\\""}``` and {} { broken'))
-    return t("questions").select("question_id", "created_at", reply.json_block(said).alias("value"))
+    """An object that holds the question, quoted as JSON, behind prose, a citation, another object and a fence, and before a broken one."""
+    held = F.to_json(F.struct(F.col("question").alias("said"), F.struct(F.length("question").alias("n")).alias("a")), {"ignoreNullFields": "false"})
+    said = F.concat(F.lit('As in [1], {"old": 1}: ```json\n'), held, F.lit("``` and {} { broken"))
+    rows = t("questions").select("question_id", "created_at", reply.json_block(said).alias("v"))
+    return rows.select("question_id", "created_at", F.get_json_object("v", "$.a.n").cast("bigint").alias("n"), F.get_json_object("v", "$.said").alias("said"))
 
 
 # --- filters -------------------------------------------------------------------------------------------------------------------------
@@ -642,6 +668,33 @@ def inc02_incremental_chunks(t):
     return ingest.chunk_stream(_bodies(t), "doc_id").select("chunk_id", F.md5("text").alias("text"), "n_words")
 
 
+@R.add(
+    f"WITH {SPANS}, {sql_chunks('sections')} SELECT doc_id || ':' || section_index || ':' || chunk_index AS chunk_id, md5({sql_scrub('text')}) AS text, n_words FROM chunks WHERE NOT {sql_reference_like('text')}"
+)
+def inc02_streamed_chunks(t):
+    """The same as a stream that takes what files are new, once, into a sink of the shared folder."""
+    at = f"{files.shared_folder(t.spark)}/ingest-{files.fingerprint(t.spark, t.path('documents'))}"
+    source = t("documents")
+    bodies = lambda rows: _bodies(lambda name: rows)
+    ingest.ingest(t.spark, f"{t.folder}/documents*.parquet", source.schema, f"{at}/chunks", f"{at}/mark", "doc_id", "body", bodies).awaitTermination()
+    return t.spark.read.parquet(f"{at}/chunks").select("chunk_id", F.md5("text").alias("text"), "n_words")
+
+
+@R.add(
+    "WITH r AS (SELECT DISTINCT question_id, sha1('judge|' || question_id) AS key FROM questions), c AS (SELECT sha1('judge|' || question_id) AS key, max(answer_relevance::VARCHAR) AS value FROM tier2_results WHERE answer_relevance IS NOT NULL AND answer_relevance <> 0 GROUP BY 1) "
+    "SELECT question_id, coalesce(c.value, chr(34) || md5(key) || chr(34)) AS value FROM r LEFT JOIN c USING (key)"
+)
+def inc01_read_through(t):
+    """A cache table that holds the delivered verdicts; what it lacks is worked out, added and read back."""
+    at = f"{files.shared_folder(t.spark)}/cache-{files.fingerprint(t.spark, t.path('tier2_results'), files.fingerprint(t.spark, t.path('questions')))}"
+    delivered = lambda: cache.storable(t("tier2_results").select(text.cache_key("judge", F.col("question_id")).alias("key"), F.col("answer_relevance").cast("string").alias("value")))
+    if not files.exists(t.spark, at):
+        delivered().write.parquet(at)
+    asked = t("questions").select("question_id").distinct().withColumn("key", text.cache_key("judge", F.col("question_id")))
+    made = lambda rows: rows.select("key", F.concat(F.lit('"'), F.md5("key"), F.lit('"')).alias("value"))
+    return cache.read_through(asked, at, made).select("question_id", "value")
+
+
 # --- model-backed steps, with the stand-ins ------------------------------------------------------------------------------------------
 
 EXPANDED = "coalesce(question || ' ', '') || array_to_string(list_slice(regexp_extract_all(coalesce(question, ''), '[A-Za-z]{3,}'), 1, 3), ' ')"

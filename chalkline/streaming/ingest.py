@@ -14,10 +14,11 @@ def chunk_stream(papers: DataFrame, key: str = "arxiv_id", body: str = "body") -
     return build.normalized(chunking.chunks(chunking.sections(papers, key, body), key))
 
 
-def ingest(spark: SparkSession, source: str, schema: str, sink: str, checkpoint: str, key: str = "arxiv_id", body: str = "body"):
-    """Process whatever files are new under source and stop. A restart resumes from the checkpoint; the file sink commits each batch once."""
+def ingest(spark: SparkSession, source: str, schema, sink: str, checkpoint: str, key: str = "arxiv_id", body: str = "body", prepare=None):
+    """Process whatever files are new under source (a folder or a pattern) and stop. prepare(rows) makes key and body of other columns. A restart
+    resumes from the checkpoint; the file sink commits each batch once."""
     papers = spark.readStream.schema(schema).parquet(source)
-    out = chunk_stream(papers, key, body)
+    out = chunk_stream(prepare(papers) if prepare else papers, key, body)
     return out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

@@ -6,6 +6,7 @@ import tarfile
 import pytest
 from pyspark.sql import functions as F
 
+from chalkline.functions import text
 from chalkline.functions.text import STOP_WORDS
 from chalkline.operators import bm25, chunking, corpus, dense, metrics, prompts, ranking, sampling
 from chalkline.plans import build, models, search
@@ -437,3 +438,20 @@ def test_build_chain(spark):
     tex = r"\begin{document}\section{Introduction} We see that the flux of it is in the sea and is not all of what was there before <cit.> . \section{References} doi doi doi\end{document}"
     got = build.build(spark.createDataFrame([("p", tex), ("q", None)], "arxiv_id string, tex string")).collect()
     assert len(got) == 1 and got[0]["chunk_id"] == "p:0:0" and got[0]["text"].endswith("there before.") and got[0]["n_words_norm"] == got[0]["n_words"] - 2
+
+
+def test_top_and_sample_beyond_the_cut_of_spark(spark):
+    """A limit above the one for which Spark cuts windows by itself gives the same rows."""
+    scored = spark.range(5000).select(F.lit("q").alias("query_id"), F.col("id").alias("chunk_ord"), (F.col("id") % 7).cast("double").alias("score"))
+    got = [(r["rank"], r["chunk_ord"]) for r in bm25.top(scored, 1500).orderBy("rank").collect()]
+    want = sorted(range(5000), key=lambda i: (-(i % 7), i))[:1500]
+    assert got == [(i + 1, c) for i, c in enumerate(want)]
+    chunks = spark.range(4000).select(F.col("id").alias("chunk_ord"), F.concat(F.lit("p"), F.col("id") % 3).alias("arxiv_id"), F.lit("Data").alias("section"))
+    rows = sampling.stratified(chunks, 2500, 1200).collect()
+    assert len(rows) == 2500 and sorted(r["pass"] for r in rows) == list(range(1, 2501))
+
+
+def test_plain_tex_and_pages(spark):
+    df = spark.createDataFrame([(r"\section{A} \textbf{b \emph{c}} 5\% % no" + "\n" + r"$x$~\cite[p]{k} \begin{itemize}\item d\end{itemize}", "<p>a &lt; b</p><script>x</script>c"), (None, None), ("", ""), ("plain", "plain")], "t string, h string")
+    got = [tuple(r) for r in df.select(text.plain_tex(F.col("t")), text.page_text(F.col("h"))).collect()]
+    assert got == [("A b c 5%\nx\nd", "a < b\nc"), (None, None), ("", ""), ("plain", "plain")]
