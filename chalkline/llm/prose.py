@@ -8,6 +8,7 @@ but hardly a verb of a main clause; scrambled sentences have both, but in imposs
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -85,8 +86,7 @@ class Words:
 
     def __init__(self) -> None:
         self.of: dict[str, int] = {}
-        self.bits: list[int] = []
-        self.size: list[int] = []
+        self.bits, self.size = array("i"), array("i")
 
     def add(self, w: str) -> int:
         core = w.strip(STRIP)
@@ -156,8 +156,8 @@ def batch_stats(texts: list, known: Words, p: ProseParams = ProseParams()) -> di
     per = [t.lower().split() if t else [] for t in texts]
     n = np.fromiter(map(len, per), np.int64, len(per))
     code = known.codes([w for ws in per for w in ws])
-    bits = np.array(known.bits, np.int32)[code] if len(code) else np.zeros(0, np.int32)
-    size = np.array(known.size, np.int32)[code] if len(code) else np.zeros(0, np.int32)
+    of = lambda a: np.frombuffer(a, np.int32)[code] if len(code) else np.zeros(0, np.int32)
+    bits, size = of(known.bits), of(known.size)
     bound = np.concatenate([[0], np.cumsum(n)])
     doc = np.repeat(np.arange(len(n)), n)
     run, verb, odd = prose_mask(bits, bound[doc], bound[doc + 1], p)
@@ -174,13 +174,13 @@ def batch_stats(texts: list, known: Words, p: ProseParams = ProseParams()) -> di
     }
     lines = [[x for x in t.split("\n") if x and not x.isspace()] if t else [] for t in texts]
     m = np.fromiter(map(len, lines), np.int64, len(lines))
-    of = lambda f: np.round(np.fromiter(map(f, lines), np.int64, len(lines)) / np.maximum(m, 1), 6)
+    by = lambda f: np.round(np.fromiter(map(f, lines), np.int64, len(lines)) / np.maximum(m, 1), 6)
     bullet = BULLET.match
     out["n_lines"] = m
-    out["punctuated_lines"] = of(lambda ls: sum(1 for x in ls if x.rstrip().rstrip(CLOSERS).endswith(MARKS)))
-    out["bullet_lines"] = of(lambda ls: sum(1 for x in ls if bullet(x)))
-    out["repeated_lines"] = of(lambda ls: len(ls) - len(set(ls)))
-    out["ellipsis_lines"] = of(lambda ls: sum(1 for x in ls if x.rstrip().endswith(("…", "..."))))
+    out["punctuated_lines"] = by(lambda ls: sum(1 for x in ls if x.rstrip().rstrip(CLOSERS).endswith(MARKS)))
+    out["bullet_lines"] = by(lambda ls: sum(1 for x in ls if bullet(x)))
+    out["repeated_lines"] = by(lambda ls: len(ls) - len(set(ls)))
+    out["ellipsis_lines"] = by(lambda ls: sum(1 for x in ls if x.rstrip().endswith(("…", "..."))))
     return out
 
 

@@ -13,6 +13,7 @@ whatever the size of the broadcast part.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import ChainMap, Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -180,7 +181,7 @@ class Halves:
     def __init__(self) -> None:
         self.of: dict[str, int] = {}
         self.forms: dict[str, int] = {}
-        self.cols: list[tuple[int, int, int]] = []  # by token: number of the form as first and as second half or -1, length with the case of the second
+        self.first, self.second, self.bits = array("q"), array("q"), array("q")  # by token: number of the form as either half or -1; lengths and case
         self.held: list[np.ndarray] = []
         self.n = 0
 
@@ -189,8 +190,10 @@ class Halves:
         b = t.rstrip(EDGE)
         first = form(t) if t.isalpha() and (t[1:].islower() or len(t) == 1 or t.isupper()) else -1
         second = form(b) if b.isalpha() and (b.isupper() or b.islower()) else -1
-        self.of[t] = n = len(self.cols)
-        self.cols.append((first, second, len(t) | (t.isupper() and len(t) > 1) << 20 | b.isupper() << 21 | len(b) << 32))
+        self.of[t] = n = len(self.bits)
+        self.first.append(first)
+        self.second.append(second)
+        self.bits.append(min(len(t), 0xFFFFF) | (t.isupper() and len(t) > 1) << 20 | b.isupper() << 21 | len(b) << 32)
         return n
 
     def count(self, texts: list) -> None:
@@ -202,9 +205,8 @@ class Halves:
         if len(codes) < 2:
             return
         code = np.array(codes)
-        col = np.array(self.cols, np.int64)
-        first, second, bits = col[code[:-1], 0], col[code[1:], 1], col[:, 2]
-        a, b = bits[code[:-1]], bits[code[1:]]
+        of = lambda x, c: np.frombuffer(x, np.int64)[c]
+        first, second, a, b = of(self.first, code[:-1]), of(self.second, code[1:]), of(self.bits, code[:-1]), of(self.bits, code[1:])
         ok = (first >= 0) & (second >= 0) & (((b >> 21 & 1) == 0) | ((a >> 20 & 1) == 1)) & ((a & 0xFFFFF) + (b >> 32) >= 5)
         ok[np.array(ends[:-1], np.int64) - 1] = False  # not from one text to the next
         self.held.append(np.stack(np.unique(first[ok] << 32 | second[ok], return_counts=True)))

@@ -6,11 +6,21 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from chalkline.sources.files import shared_folder
+from chalkline.sources.files import delete, shared_folder
+
+
+#: Tables that this process has written.
+WRITTEN: list[str] = []
+
+
+def discard(spark: SparkSession) -> None:
+    """Removes the tables written so far, when the results made from them have been stored."""
+    while WRITTEN:
+        delete(spark, WRITTEN.pop())
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -22,6 +32,7 @@ def saved(df: DataFrame) -> DataFrame:
 def written(df: DataFrame) -> DataFrame:
     """The rows as a compressed table in the shared folder, for rows that are large and of which each reader takes some columns."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    WRITTEN.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -148,3 +148,15 @@ def test_plans_of_large_capacities_end_soon():
         assert time.perf_counter() - t < 30
         containers = max(c + (last - first) // uses for _, first, last, c, uses in rows)
         assert containers <= 1.01 * (lengths * counts).sum() / capacity and sum(last - first for _, first, last, _, _ in rows) == items
+
+
+def test_written_tables_can_be_discarded(spark):
+    from pathlib import Path
+
+    from chalkline.llm import store
+
+    df = store.written(spark.range(5).toDF("x"))
+    path = store.WRITTEN[-1]
+    assert df.count() == 5 and Path(path).exists()
+    store.discard(spark)
+    assert not Path(path).exists() and not store.WRITTEN
