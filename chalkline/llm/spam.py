@@ -3,8 +3,8 @@
 For each page the words are counted that belong to links outside sentences, to phrases that the page repeats, and to menu, product and tag items;
 with entropy, distinct words and function words they make a vector. Per language its centre and scale are the median and the median absolute
 deviation over all pages, and its correlation that of the clipped deviations, all from mergeable aggregates over the whole table. A page is spam
-if its robust Mahalanobis distance is large and so is the part of its whitened deviation along the spam axis: more links, items and repeats, less
-variety. Tables, references and code are far from the centre too, but in other directions.
+if its robust Mahalanobis distance is large and so is its score along the spam axis, more links, items and repeats and less
+variety, in robust standard deviations of that score. Tables, references and code are far from the centre too, but in other directions.
 """
 
 from __future__ import annotations
@@ -60,9 +60,9 @@ FEATURES = ("link_share", "repeat_share", "item_share", "entropy_gap", "sameness
 
 @dataclass(frozen=True)
 class SpamParams:
-    distance: float = 8.0  # robust Mahalanobis distance of an outlier
-    direction: float = 4.6  # its part along the spam axis
-    axis: tuple[float, ...] = (1.0, 1.0, 1.0, 1.0, 0.5, 0.6)  # the spam direction, in scales of each feature
+    distance: float = 7.0  # robust Mahalanobis distance of an outlier
+    direction: float = 4.05  # its score along the spam axis, in robust standard deviations of that score
+    axis: tuple[float, ...] = (1.0, 0.45, 1.0, 1.4, 0.0, 0.0)  # the spam axis: weights of the features' deviations
     least_scale: tuple[float, ...] = (0.05, 0.05, 0.03, 0.03, 0.05, 0.1)  # of each feature, about a word or two of a short page: most pages have no links or items at all
     clip: float = 3.0  # deviations beyond count as so many scales in the correlation
     shrink: float = 0.2  # of the correlation towards none
@@ -373,7 +373,7 @@ def measured(docs: DataFrame, common: DataFrame, key: str = "doc_id", text: str
 
 
 def centres(pages: DataFrame, p: SpamParams = SpamParams()) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """By language (centre, scale, inverse correlation) of the features, and of all pages under ''. Three aggregates with partial results; what
+    """By language (centre, scale, correlation) of the features, and of all pages under ''. Three aggregates with partial results; what
     comes to the driver is a row a language."""
     # pages without any function word have no language; they are measured against all pages
     own = F.when(F.col("lang_found") == "none", F.array(F.lit(""))).otherwise(F.array(F.col("lang_found"), F.lit("")))
@@ -400,14 +400,14 @@ def centres(pages: DataFrame, p: SpamParams = SpamParams()) -> dict[str, tuple[n
             both_vary = r[f"c{i}_{i}"] * r[f"c{j}_{j}"]
             if i != j and both_vary > 0:
                 m[i, j] = m[j, i] = (1 - p.shrink) * r[f"c{i}_{j}"] / both_vary**0.5
-        out[r["_l"]] = (np.array([med[r["_l"]][f] for f in FEATURES]), scale[r["_l"]], np.linalg.inv(m))
+        out[r["_l"]] = (np.array([med[r["_l"]][f] for f in FEATURES]), scale[r["_l"]], m)
     return out
 
 
 def judged(docs: DataFrame, common: DataFrame, key: str = "doc_id", text: str = "text", p: SpamParams = SpamParams()) -> DataFrame:
     """key, lang_found, n_words, the FEATURES, distance, direction, is_spam of each page with words. distance is the robust Mahalanobis distance
-    from the language's centre, direction the part of the whitened deviation along the spam axis. A page is spam if it is far enough out and
-    lies far enough in that direction. Repeated rows are judged each; an empty table gives none."""
+    from the language's centre, direction the deviation's score along the spam axis over the robust standard deviation that the language's scales and
+    correlation give this score. A page is spam if it is far enough out and lies far enough in that direction. Repeated rows are judged each; an empty table gives none."""
     pages = saved(measured(docs, common, key, text))
     own = docs.sparkSession.sparkContext.broadcast(centres(pages, p))
 
@@ -417,10 +417,10 @@ def judged(docs: DataFrame, common: DataFrame, key: str = "doc_id", text: str =
         out = np.zeros((len(x), 2))
         known = lang.map(lambda v: v if v in own.value else "")
         for k, where in known.groupby(known).indices.items():
-            centre, scale, inverse = own.value[k]
-            d = (x[where] - centre) / scale
-            out[where, 0] = np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", d, inverse, d), 0))
-            out[where, 1] = d @ inverse @ axis / np.sqrt(axis @ inverse @ axis)
+            centre, scale, related = own.value[k]
+            d, w = (x[where] - centre) / scale, scale * axis
+            out[where, 0] = np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", d, np.linalg.inv(related), d), 0))
+            out[where, 1] = d @ w / np.sqrt(w @ related @ w)
         return pd.DataFrame(np.round(out, 4), columns=["distance", "direction"])
 
     rows = pages.withColumn("_p", placed("lang_found", *FEATURES)).select("*", "_p.distance", "_p.direction").drop("_p")
