@@ -171,8 +171,8 @@ def test_flags_of():
 
 
 def test_ranking_of():
-    assert reply.ranking_of('[{"index": 2, "score": 1}, {"index": 9, "score": 1}, {"index": 2, "score": 0}, {"index": 0}, 5]', 4) == [2, 0, 1, 3]
-    assert reply.ranking_of("nonsense", 3) == [0, 1, 2] and reply.ranking_of(None, 0) == []
+    assert reply.ranking_of('[{"index": 2, "score": 1}, {"index": 9, "score": 1}, {"index": 2, "score": 0}, {"index": 0}, 5]', 4) == [(2, 1.0), (0, 0.0), (1, 0.0), (3, 0.0)]
+    assert reply.ranking_of("nonsense", 3) == [(0, 0.0), (1, 0.0), (2, 0.0)] and reply.ranking_of(None, 0) == []
 
 
 def test_blank_class_matches_python():
