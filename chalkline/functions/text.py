@@ -5,6 +5,8 @@ Null text gives a null string or an empty array, as each docstring states; an em
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,6 +47,11 @@ SECTION_KEYS = (
 NOISE_TITLES = ("references", "bibliography", "acknowledg")
 
 
+def let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value) with the value worked out once a row, however often it is named; in a plain expression Spark repeats it in each branch."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Text without white space at either end, by Unicode."""
     return F.regexp_replace(text, f"^{WS}+|{WS}+$", "")
@@ -64,8 +71,7 @@ def tokens(text: Column) -> Column:
 def stop_fraction(text: Column) -> Column:
     """Share of stop words among the ASCII words of the text; 0.0 if it has none."""
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z]+"), F.lit(0))
-    stops = F.size(F.filter(found, lambda t: t.isin(*STOP_WORDS)))
-    return F.when(F.size(found) > 0, stops / F.size(found)).otherwise(F.lit(0.0))
+    return let(found, lambda ws: F.when(F.size(ws) > 0, F.size(F.filter(ws, lambda t: t.isin(*STOP_WORDS))) / F.size(ws)).otherwise(F.lit(0.0)))
 
 
 #: The share of stop words from which a text is prose; the marks of each kind, and of all kinds together, from which another text is
@@ -76,16 +82,15 @@ PROSE, DOIS, ET_ALS, MARKS, TABLE = 0.32, 3, 4, 6, 0.5
 def reference_like(text: Column) -> Column:
     """Whether a text is a reference list or a table rather than prose. Prose by its share of stop words is never one; then citation marks
     are counted, then words with digits. Null or empty text is kept (false)."""
-    t = F.coalesce(text, F.lit(""))
-    low = F.lower(t)
-    dois = F.regexp_count(low, F.lit("doi"))
-    etal = F.regexp_count(low, F.lit("et al"))
-    years = F.regexp_count(t, F.lit(rf"(?:19|20)[0-9][0-9][a-z]?{WS}*\)"))
-    ws = words(t)
-    numeric = F.size(F.filter(ws, lambda w: w.rlike(DIGIT)))
-    cited = (dois >= DOIS) | (etal >= ET_ALS) | (dois + etal + years >= MARKS)
-    table = F.when(F.size(ws) > 0, numeric / F.size(ws) > TABLE).otherwise(F.lit(False))
-    return F.when(stop_fraction(t) >= PROSE, F.lit(False)).when(cited, F.lit(True)).otherwise(table)
+
+    def judged(t: Column) -> Column:
+        low = F.lower(t)
+        years = F.regexp_count(t, F.lit(rf"(?:19|20)[0-9][0-9][a-z]?{WS}*\)"))
+        cited = let(F.struct(F.regexp_count(low, F.lit("doi")).alias("d"), F.regexp_count(low, F.lit("et al")).alias("e")), lambda n: (n["d"] >= DOIS) | (n["e"] >= ET_ALS) | (n["d"] + n["e"] + years >= MARKS))
+        table = let(words(t), lambda ws: F.when(F.size(ws) > 0, F.size(F.filter(ws, lambda w: w.rlike(DIGIT))) / F.size(ws) > TABLE).otherwise(F.lit(False)))
+        return F.when(stop_fraction(t) >= PROSE, F.lit(False)).when(cited, F.lit(True)).otherwise(table)
+
+    return let(F.coalesce(text, F.lit("")), judged)
 
 
 #: Left-overs of conversion from LaTeX, in the order in which they are blanked.
@@ -125,9 +130,7 @@ def noise_section(title: Column) -> Column:
 
 def overlap(question: Column, chunk: Column) -> Column:
     """Share of the question's distinct tokens that the chunk has; 0.0 for a question without tokens."""
-    q = F.array_distinct(tokens(question))
-    n = F.size(q)
-    return F.when(n > 0, F.size(F.array_intersect(q, tokens(chunk))) / n).otherwise(F.lit(0.0))
+    return let(F.array_distinct(tokens(question)), lambda q: F.when(F.size(q) > 0, F.size(F.array_intersect(q, tokens(chunk))) / F.size(q)).otherwise(F.lit(0.0)))
 
 
 def tex_body(tex: Column) -> Column:
