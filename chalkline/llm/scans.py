@@ -332,10 +332,10 @@ class Wider(Lexicon):
         return c + "*" in self.facts or self.base.cut(c)
 
 
-def asked(text: str, lex: Lexicon) -> set[str]:
+def asked(text: str, lex: Lexicon, title: str | None = None) -> set[str]:
     """The facts that damage() and repaired_text() could ask for, whatever the answers, and that are not in the broadcast part."""
     out: set[str] = set()
-    for t in {text, LIGATURE.sub(lambda m: LIGATURES[m[0]], _headless(text))}:
+    for t in {text, LIGATURE.sub(lambda m: LIGATURES[m[0]], _headless(text, title))}:
         toks = t.split()
         forms = []
         for a in toks:
@@ -393,7 +393,47 @@ def headers(text: str, capitals: bool = True) -> list[tuple[int, int]]:
     return spans
 
 
-def damage(text: str, lex: Lexicon) -> int:
+#: Characters of a paper's title that make a running title; it may be cut off behind them.
+TITLE_CHARS = 30
+BY = re.compile(r"(?:[A-Z][\w-]+ and )?[A-Z][\w-]+: $")
+NUMBERED = re.compile(r"\s+\d{1,4}(?!\S)")
+
+
+def running_titles(text: str, title: str | None) -> list[tuple[int, int]]:
+    """Spans where the paper's own title, whole or cut off, stands as a running title: inside a sentence, behind its authors, with a page number, or
+    between two sentences without a mark of its own. A sentence that only begins like the title is none."""
+    words = title.split() if title else []
+    head = " ".join(words)[:TITLE_CHARS].rstrip()
+    if len(head) < 15 or head.split(" ")[0] not in text:
+        return []
+    spans, full = [], " ".join(words)
+    for m in re.finditer(r"(?<!\S)" + r"\s+".join(map(re.escape, head.split(" "))), text):
+        a, b, n = m.start(), m.end(), len(head)
+        while n < len(full) and b < len(text):  # as far as the title goes on
+            if full[n] == " " and text[b].isspace():
+                c = b
+                while c < len(text) and text[c].isspace():
+                    c += 1
+                if c == len(text) or full[n + 1] != text[c]:
+                    break
+                n, b = n + 1, c
+            elif full[n] == text[b]:
+                n, b = n + 1, b + 1
+            else:
+                break
+        if b < len(text) and not text[b].isspace():
+            continue  # another word than the title's
+        by = BY.search(text, max(0, a - 60), a)
+        a = by.start() if by else a
+        number = NUMBERED.match(text, b)
+        before, after = text[:a].rstrip(), text[number.end() if number else b :].lstrip()
+        inside = bool(before) and before[-1] not in ".!?:;"
+        if by or number or inside or before and after[:1].isupper():
+            spans.append((a, number.end() if number else b))
+    return spans
+
+
+def damage(text: str, lex: Lexicon, title: str | None = None) -> int:
     """Places where the text shows damage: broken, misread, split, run-together and cut-off words, headers, ligatures."""
     toks = text.split()
     get, state = lex.states.get, lex.state
@@ -427,7 +467,7 @@ def damage(text: str, lex: Lexicon) -> int:
                 found += 1
         else:
             found += 1
-    return found + len(headers(text, capitals >= 2)) + (0 if text.isascii() else len(LIGATURE.findall(text)))
+    return found + len(headers(text, capitals >= 2)) + len(running_titles(text, title)) + (0 if text.isascii() else len(LIGATURE.findall(text)))
 
 
 def _known(words: DataFrame, fixes: DataFrame, p: ScanParams) -> DataFrame:
@@ -470,28 +510,28 @@ def learned(rows: DataFrame, text: str = "text", p: ScanParams = ScanParams()) -
 
 
 def _informed(rows: DataFrame, noise: Noise, key: str, text: str) -> DataFrame:
-    """key, text, and _x: the facts each text asks for and that are not in the broadcast part; null if all are. Only then do texts shuffle. A
+    """key, text, _x and _t. _t is the title, null if the rows have none. _x: the facts each text asks for and that are not in the broadcast part; null if all are. Only then do texts shuffle. A
     repeated key has the facts of all its rows, which say nothing wrong about any of them."""
-    rows = rows.select(key, text)
+    rows = rows.select(key, text, (F.col("title").cast("string") if "title" in rows.columns else F.lit(None).cast("string")).alias("_t"))
     if noise.more is None:
-        return rows.withColumn("_x", F.lit(None).cast("array<struct<fact:string,value:string>>"))
+        return rows.withColumn("_x", F.lit(None).cast("array<struct<fact:string,value:string>>")).select(key, text, "_x", "_t")
     kind, hot = rows.schema[key].dataType.simpleString(), noise.hot
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = Lexicon(*hot.value)
         for b in sliced(batches, 128):
-            got = [(k, f) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if t for f in asked(t, lex)]
+            got = [(k, f) for k, t, h in zip(*(c.to_pylist() for c in b.columns)) if t for f in asked(t, lex, h)]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], b.column(0).type), pa.array([f for _, f in got], pa.string())], ["_k", "fact"])
 
     facts = rows.mapInArrow(ask, f"_k {kind}, fact string").join(noise.more, "fact").groupBy("_k").agg(F.collect_set(F.struct("fact", "value")).alias("_x"))
-    return rows.join(facts, F.col(key).eqNullSafe(F.col("_k")), "left").select(key, text, "_x")
+    return rows.join(facts, F.col(key).eqNullSafe(F.col("_k")), "left").select(key, text, "_x", "_t")
 
 
 def _places(b: pa.RecordBatch, lex: Lexicon, known: prose.Words, q: prose.ProseParams) -> np.ndarray:
-    """Damaged places of each text (second column, facts in the third); 0 for texts that are not prose. Whether a text is prose is only worked out
+    """Damaged places of each text (second column; facts in the third, title in the fourth); 0 for texts that are not prose. Whether a text is prose is only worked out
     where there is something to show."""
     texts = b.column(1).to_pylist()
-    n = np.array([damage(t, lex.knowing(x)) if t else 0 for t, x in zip(texts, b.column(2).to_pylist())], np.int64)
+    n = np.array([damage(t, lex.knowing(x), h) if t else 0 for t, x, h in zip(texts, b.column(2).to_pylist(), b.column(3).to_pylist())], np.int64)
     some = np.flatnonzero(n)
     stats = prose.batch_stats([texts[i] for i in some], known, q)
     n[some[stats["prose_words"] < q.prose_share * np.maximum(stats["n_counted"], 1)]] = 0
@@ -517,10 +557,10 @@ def damaged(rows: DataFrame, noise: Noise, key: str = "chunk_ord", text: str = "
 BREAK = re.compile(rf"([^\W\d_][\w'’|(]*)([{HYPHENS}])(?:[ \t]+|[ \t]*\n[ \t]*)([^\W\d_][\w'’|(]*)")
 
 
-def _headless(text: str) -> str:
+def _headless(text: str, title: str | None = None) -> str:
     """The text without its running headers."""
     spans: list[list[int]] = []
-    for a, b in sorted(headers(text)):
+    for a, b in sorted([*headers(text), *running_titles(text, title)]):
         if spans and a <= spans[-1][1]:
             spans[-1][1] = max(spans[-1][1], b)
         else:
@@ -532,9 +572,9 @@ def _headless(text: str) -> str:
     return text
 
 
-def repaired_text(text: str, lex: Lexicon) -> str:
+def repaired_text(text: str, lex: Lexicon, title: str | None = None) -> str:
     """The text as continuous paragraphs: headers out, broken words joined, misread, run-together and split words put right."""
-    text = _headless(text)
+    text = _headless(text, title)
     text = LIGATURE.sub(lambda m: LIGATURES[m[0]], text)
     text = BREAK.sub(lambda m: m[1] + m[3] if joins(m[1] + m[2], m[3], lex) else m[0], text)
     fixes = lex.fixes
@@ -587,9 +627,9 @@ def repaired(rows: DataFrame, noise: Noise, key: str = "chunk_ord", text: str =
         lex, known = Lexicon(*hot.value), prose.Words()
         for b in sliced(batches):
             old, new = b.column(1).to_pylist(), b.column(1).to_pylist()
-            facts = b.column(2).to_pylist()
+            facts, titles = b.column(2).to_pylist(), b.column(3).to_pylist()
             for i in np.flatnonzero(_places(b, lex, known, q)):
-                new[i] = repaired_text(old[i], lex.knowing(facts[i]))
+                new[i] = repaired_text(old[i], lex.knowing(facts[i]), titles[i])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(new, pa.string()), pa.array([x != y for x, y in zip(old, new)])], [key, "clean_text", "changed"])
 
     return _informed(rows, noise, key, text).mapInArrow(run, f"`{key}` {kind}, clean_text string, changed boolean")

@@ -170,6 +170,26 @@ def test_results_do_not_depend_on_the_broadcast_part(spark):
     assert got[0] == got[1] == got[2] and got[0][0] and got[0][1]
 
 
+@pytest.mark.parametrize(
+    ("text", "clean"),
+    [
+        ("the spread of it On the sparse flux of the whole Tarn narrows to 7", "the spread of it narrows to 7"),
+        ("the spread of it\nOn the sparse flux of the whole\n80\nnarrows to 7", "the spread of it\nnarrows to 7"),
+        ("It is so. Marl and Tins: On the sparse flux of the whole 12 We see it.", "It is so. We see it."),
+        ("It is so. On the sparse flux of the whole Tarn We see it.", "It is so. We see it."),
+        ("It is so. On the sparse flux of the whole Tarn we see it.", None),
+        ("On the sparse flux of the whole Tarn we see it.", None),
+        ("It rests on the sparse flux of the whole Tarn.", None),
+        ("the On the sparse flux of the wholesome Tarn", None),
+    ],
+)
+def test_running_titles(text, clean):
+    title = "On the sparse  flux of the whole Tarn"
+    assert bool(scans.running_titles(text, title)) == (clean is not None)
+    assert scans._headless(text, title) == (clean or text)
+    assert not scans.running_titles(text, None) and not scans.running_titles(text, "On the") and not scans.running_titles(text, "")
+
+
 def test_pairs_by_numbers_are_the_pairs_of_tokens():
     rng = random.Random(2)
     tokens = ["re", "turned", "Re", "TURN", "ED", "a", "A", "tra", "nsport,", "co2", "(the", "it.", "x-y", "Éta", "été", "42"]
