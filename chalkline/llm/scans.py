@@ -199,8 +199,8 @@ class Halves:
     def count(self, texts: list) -> None:
         get, add, codes, ends = self.of.get, self.add, [], []
         for t in texts:
-            if t:
-                codes += [n if (n := get(w)) is not None else add(w) for w in t.split()]
+            if t and (tokens := t.split()):  # a blank text has no end of its own
+                codes += [n if (n := get(w)) is not None else add(w) for w in tokens]
                 ends.append(len(codes))
         if len(codes) < 2:
             return

@@ -203,6 +203,30 @@ def test_pairs_by_numbers_are_the_pairs_of_tokens():
     assert halves.taken().num_rows == 0
 
 
+@pytest.mark.parametrize("blank", [" ", "\n\n", " \t ", "\u2003"])
+@pytest.mark.parametrize("texts", [["_", "re turned tra nsport"], ["re turned tra nsport", "_"], ["_", "_", "re turned", "_", "_", "tra nsport", "_", "_"], ["_", "re turned"], ["re turned", "_"], ["_", "re", "_", "turned", "_"], ["_"], ["_", "_"]])
+def test_blank_texts_take_no_pair_from_a_batch(texts, blank):
+    texts = [blank if t == "_" else t for t in texts]
+    want = Counter(ab for t in texts for ab in map(scans._pair, t.split(), t.split()[1:]) if ab)
+    halves = scans.Halves()
+    halves.count(texts)
+    assert {(r["a"], r["b"]): r["n"] for r in halves.taken().to_pylist()} == dict(want)
+
+
+def test_blank_texts_at_either_end_of_a_batch(spark):
+    """Nothing fails, blank texts come out as they are, and the other texts have the results that they have without blank ones."""
+    rows = corpus([*DAMAGED, *SOUND])
+    blank = [(2000 + i, t) for i, t in enumerate([" ", "\n\n", " \t "])]
+    got = []
+    for all_rows in (rows, blank + rows + [(k + 100, t) for k, t in blank]):
+        docs = spark.createDataFrame(all_rows, "chunk_ord bigint, text string").coalesce(1)
+        noise = scans.learned(docs)
+        clean = {r["chunk_ord"]: (r["clean_text"], r["changed"]) for r in scans.repaired(docs, noise).collect()}
+        assert all(clean[k] == (t, False) for k, t in all_rows if k >= 2000)
+        got.append((sorted(map(tuple, scans.damaged(docs, noise).collect())), {k: v for k, v in clean.items() if k < 2000}))
+    assert got[0] == got[1] and got[0][0]
+
+
 def _one_spam(spark, page):
     rows = [(i, PROSE + f" It was run {i} of the set.") for i in range(200)] + [(1000, page)]
     found = spam.judged(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(COMMON, "lang string, word string"))
