@@ -126,6 +126,40 @@ def test_top_edge_cases(spark):
     assert search.pool(empty, q, 3).count() == 0
 
 
+def test_pool_with_negative_weights(spark):
+    """A document that scores below 0 is not filled in again with 0, and one that shares no token comes before it."""
+    docs = [(i, "ice core") for i in range(5)] + [(5, "")]
+    want = sorted(by_hand(docs, "ice").items(), key=lambda x: (-x[1], x[0]))[:2]
+    assert want[1][1] < 0
+    got = search.pool(spark.createDataFrame(docs, "chunk_ord bigint, text string"), spark.createDataFrame([("q", "ice")], "query_id string, query string"), 2).orderBy("rank").collect()
+    assert [(r["chunk_ord"], r["score"]) for r in got] == want
+
+
+def test_pool_in_parts_and_blocks(spark, monkeypatch):
+    """Many small blocks and parts of a batch give the rows of the join over all pairs; only n rows a query and task leave a task."""
+    words = ("ice", "sheet", "melts", "wind", "stress", "field", "core")
+    docs = spark.createDataFrame([(7 * i, " ".join(words[(i * k) % 7] for k in range(1, 2 + i % 5)) + f" w{i % 11}") for i in range(400)], "chunk_ord bigint, text string").repartition(3)
+    q = spark.createDataFrame([(i, f"{words[i % 7]} {words[i % 3]} w{i}") for i in range(12)] + [(12, None), (13, "absent")], "query_id int, query string")
+    index = bm25.build(docs)
+    want = {(r["query_id"], r["chunk_ord"]): r["score"] for r in bm25.top(bm25.scores(q, index), 9).collect()}
+    monkeypatch.setattr(bm25, "BATCH_ROWS", 5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        rows = bm25.best(q, index, 9)
+        got = {(r["query_id"], r["chunk_ord"]): r["score"] for r in rows.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 14 * 9 and all(got[k] == v for k, v in want.items())
+    assert all([k[1] for k in got if k[0] == i] == [7 * j for j in range(9)] for i in (12, 13))
+    assert {v for k, v in got.items() if k not in want} == {0.0}
+    assert "MapInArrow" in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_counted_tokens(spark):
+    rows = spark.createDataFrame([(["b", "a", "b", "c", "b"],), (["x"],), ([],)], "t array<string>").select(bm25.counted(F.col("t")).alias("c")).collect()
+    assert [[tuple(x) for x in r["c"]] for r in rows] == [[("a", 1), ("b", 3), ("c", 1)], [("x", 1)], []]
+
+
 def test_index_round_trip_and_alignment(spark, tmp_path):
     docs = spark.createDataFrame(DOCS, "chunk_ord bigint, text string")
     search.save_index(bm25.build(docs), str(tmp_path))
