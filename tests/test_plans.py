@@ -56,6 +56,19 @@ def test_query_against_sql(spark, name):
     assert mine == sorted((tuple(norm(r[i]) for i in at) for r in rel.fetchall()), key=str)
 
 
+@pytest.mark.parametrize("name", ["llm05_answers", "llm07_llm09_cells"])
+def test_every_question_is_answered(spark, name):
+    chunks, asked = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("chunks_norm", "questions"))
+    want = asked.join(chunks, asked.source_chunk_id == chunks.chunk_id, "left_semi").select("question_id").distinct()
+    got = core.R.queries[name](spark, FOLDER).select("question_id")
+    assert want.count() and sorted(want.collect()) == sorted(got.collect())
+
+
+def test_gold_reads_no_text(spark):
+    p = plan(core.R.queries["agg08_agg09_question_scores"](spark, FOLDER))
+    assert "chunk_id:string" in p and "text:string" not in p
+
+
 def test_stream_equals_batch_and_resumes(spark, tmp_path):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select(F.col("doc_id").cast("string").alias("arxiv_id"), F.col("text").alias("body"))
     src, sink, mark = (str(tmp_path / x) for x in ("in", "out", "mark"))
